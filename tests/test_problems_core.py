@@ -76,8 +76,8 @@ def test_gaps_match_brute_force(spark):
     for k in range(60):
         n = rnd.choice([0, 1, 2, 5, 30])
         pairs = [(b, b + rnd.randint(-2, 9)) for b in (rnd.randint(0, 150) for _ in range(n))]
-        rows.append((k, [(None if rnd.random() < 0.05 else b, None if rnd.random() < 0.05 else e) for b, e in pairs]))
-    rows += [(60, None), (61, [None, (1, 2), (5, 6)])] + rows[:3]
+        rows.append((k, [(None if rnd.random() < 0.05 else float(b), None if rnd.random() < 0.05 else float(e)) for b, e in pairs]))
+    rows += [(60, None), (61, [None, (1.0, 2.0), (5.0, 6.0)])] + rows[:3]
     df = spark.createDataFrame([(k, x, "x") for k, x in rows], "id long, a array<struct<begin:double,end:double>>, tier string")
     want = {(k, b, e) for k, x in rows for b, e in gaps([p for p in x or [] if p])}
     got = intervals.tier_gaps(df, "id", {"words": F.col("a")}, 1.0).collect()
