@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 SLICE = 1_000_000
 OTHER, LOWER, UPPER, LETTER, DIGIT, SPACE, LINE, STOP, PUNCT, MARK, FORMAT, CJK = range(12)
 STOPS = ".!?…。！？｡．।॥"
-PUNCTS = ",;:'\"-()（）“”„‘’«»‹›「」『』，；：、—–¿¡·"
+PUNCTS = "[],;:'\"-()（）“”„‘’«»‹›「」『』，；：、—–¿¡·"
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
