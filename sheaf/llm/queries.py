@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunking, leakage, packing, quality, sentences
+from . import canonical, chunking, language, leakage, packing, quality, sentences
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "audiobook"))
 
 
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.forms(table(spark, sf_dir, "audioseg"), "seg_id", ["orig", "text"]).select("field", "seg_id", "form").distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = canonical.forms(table(spark, sf_dir, "audioseg"), "seg_id", ["orig", "text"])
+    return canonical.alike(forms, "seg_id").toDF("field", "seg_a", "seg_b")
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     books, limit = table(spark, sf_dir, "audiobook"), chunking.limits(table(spark, sf_dir, "size_limit"))
     text = chunking.text_pieces(books, limit["audiobook.text"]).selectExpr("source_id", "'text' as field", "piece", "begin", "end", "hard")
@@ -29,6 +38,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.unionByName(chunking.cuts(chunking.entry_pieces(books, limit["audiobook.transcription"]), "transcription"))
 
 
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "audioseg"), "meta").dropDuplicates(["seg_id"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.issues(language.languages(table(spark, sf_dir, "audioseg"), "meta"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit = chunking.limits(table(spark, sf_dir, "size_limit"))["documents.text"]
     return packing.containers(table(spark, sf_dir, "documents"), limit.max_size)
