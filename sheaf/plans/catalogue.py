@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import book, problems, tables  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "attr_ranges"
 
-from . import problems
 
-FLAGSHIP = "p5_found"
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+def queries() -> dict[str, book.Query]:
+    return dict(book.QUERIES) | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(book.SQL)
