@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it, in lambdas too."""
+    return F.transform(F.array(value), body)[0]
+
+
 def log_floor(x: Column, floor: float = 1e-5) -> Column:
     """Natural logarithm of the value, or of the floor if that is larger."""
     return F.ln(F.greatest(x, F.lit(floor)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
+
 
 def include(path: Column, parts: list[str]) -> Column:
     """Whether the path contains any of the parts."""
@@ -78,8 +80,9 @@ def repeated_word(text: Column, times: int = 10) -> Column:
     """Whether a word of more than one character comes at least so often in the text, as in made-up transcripts. Works
     within the row; the words of a text are sorted once, then runs are looked up, so long texts stay linear."""
     words = F.array_sort(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: F.length(w) > 1))
-    n = F.size(words) - times + 1
-    return F.coalesce(F.when(n > 0, F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.element_at(words, i) == F.element_at(words, i + times - 1))), F.lit(False))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - times + 1, F.lit(1)))
+    hit = let(words, lambda w: (F.size(w) >= times) & F.exists(starts(w), lambda i: F.get(w, i - 1) == F.get(w, i + times - 2)))
+    return F.coalesce(hit, F.lit(False))
 
 
 def shouting(text: Column) -> Column:

@@ -12,7 +12,7 @@ from ..operators import filters as P
 from ..operators import joins as J
 from .book import query, table
 
-DUR = "list_max(list_transform(ts_by_words, x -> x.\"end\")) - list_min(list_transform(ts_by_words, x -> x.\"begin\"))"
+DUR = "list_max(list_transform(ts_by_words, lambda x: x.\"end\")) - list_min(list_transform(ts_by_words, lambda x: x.\"begin\"))"
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
@@ -166,10 +166,10 @@ def path_component(spark, d):
     return table(spark, d, "audioseg").select("seg_id", P.component(F.col("file_path"), "SEGS/", 1).alias("speaker")).distinct()
 
 
-@query("select o_orderkey, coalesce(case when o_orderstatus = 'F' then null else round(o_totalprice / 2, 2) end, o_totalprice) as price, coalesce(case when o_orderkey % 3 = 0 then o_orderpriority end, 'none') as priority from orders")
+@query("select o_orderkey, coalesce(case when o_orderstatus = 'F' then null else round(o_totalprice * 2, 2) end, o_totalprice) as price, coalesce(case when o_orderkey % 3 = 0 then o_orderpriority end, 'none') as priority from orders")
 def coalesce_update(spark, d):
     o = table(spark, d, "orders").withColumn("priority", F.lit("none"))
-    new = {"o_totalprice": F.when(F.col("o_orderstatus") != "F", F.round(F.col("o_totalprice") / 2, 2)), "priority": F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority"))}
+    new = {"o_totalprice": F.when(F.col("o_orderstatus") != "F", F.round(F.col("o_totalprice") * 2, 2)), "priority": F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority"))}
     return P.update(o, new).select("o_orderkey", F.col("o_totalprice").alias("price"), "priority")
 
 
@@ -211,7 +211,7 @@ MEANS = "(select label, p, avg(x::double) as m from (select label, generate_subs
 
 
 @query(f"""with c as (select label, list(m order by p) as v from {MEANS} where label % 2 = 0 group by 1)
-  select vec_id, arg_min(c.label, (round(list_distance(list_transform(embedding, x -> x::double), v), 9), c.label)) as known from embeddings, c group by vec_id""")
+  select vec_id, arg_min(c.label, (round(list_distance(list_transform(embedding, lambda x: x::double), v), 9), c.label)) as known from embeddings, c group by vec_id""")
 def nearest_known_speaker(spark, d):
     e = table(spark, d, "embeddings")
     centres = A.as_vectors(A.mean_vector(e, "label", "embedding"), "label").where("label % 2 = 0").select(F.col("label").cast("bigint").alias("name"), F.col("vector").alias("centre"))
@@ -219,7 +219,7 @@ def nearest_known_speaker(spark, d):
 
 
 @query(f"""with c as (select label, list(m order by p) as v from {MEANS} group by 1)
-  select vec_id, 1 + arg_min(c.label, (round(list_distance(list_transform(embedding, x -> x::double), v), 9), c.label)) as unit, round(min(list_distance(list_transform(embedding, x -> x::double), v)), 6) as distance from embeddings, c group by vec_id""")
+  select vec_id, 1 + arg_min(c.label, (round(list_distance(list_transform(embedding, lambda x: x::double), v), 9), c.label)) as unit, round(min(list_distance(list_transform(embedding, lambda x: x::double), v)), 6) as distance from embeddings, c group by vec_id""")
 def nearest_centroid(spark, d):
     e = table(spark, d, "embeddings")
     centres = A.as_vectors(A.mean_vector(e, "label", "embedding"), "label").select(F.col("label").cast("bigint").alias("name"), F.col("vector").alias("centre"))
@@ -227,7 +227,7 @@ def nearest_centroid(spark, d):
 
 
 @query("""select query_id, vec_id, row_number() over (partition by query_id order by s desc, vec_id) as rank, round(s, 6) as similarity from
-  (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(list_transform(q.embedding, x -> x::double), list_transform(e.embedding, x -> x::double)), 9) as s from embeddings q, embeddings e where q.vec_id % 50 = 0 and q.vec_id <> e.vec_id) qualify rank <= 5""")
+  (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(list_transform(q.embedding, lambda x: x::double), list_transform(e.embedding, lambda x: x::double)), 9) as s from embeddings q, embeddings e where q.vec_id % 50 = 0 and q.vec_id <> e.vec_id) qualify rank <= 5""")
 def cosine_topk(spark, d):
     e = table(spark, d, "embeddings")
     top = J.top_similar(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), 5)
@@ -298,15 +298,15 @@ STATS = """(select user_id, event_type, min(v) as mn, max(v) as mx, avg(v) as me
   (select user_id, event_type, least(greatest(value, quantile_cont(value, 0.05) over (partition by user_id, event_type)), quantile_cont(value, 0.95) over (partition by user_id, event_type)) as v from events where value > 0.01) group by 1, 2)"""
 
 
-@query(f"select user_id, event_type, round(mn, 6) as min, round(mx, 6) as max, round(mean, 6) as mean, round(var, 6) as var, n from {STATS}")
+@query(f"select user_id, event_type, round(mn, 8) as min, round(mx, 8) as max, round(mean, 8) as mean, round(var, 8) as var, n from {STATS}")
 def attr_stats(spark, d):
     s = A.sample_stats(table(spark, d, "events"), ["user_id", "event_type"], "value")
-    return s.select("user_id", "event_type", *(F.round(c, 6).alias(c) for c in ("min", "max", "mean", "var")), "n")
+    return s.select("user_id", "event_type", *(F.round(c, 8).alias(c) for c in ("min", "max", "mean", "var")), "n")
 
 
-@query(f"select user_id, round(min(mn), 6) as min, round(max(mx), 6) as max, round(median(mean), 6) as mean, round(median(var), 6) as var, sum(n)::bigint as n from {STATS} group by 1")
+@query(f"select user_id, round(min(mn), 8) as min, round(max(mx), 8) as max, round(median(mean), 8) as mean, round(median(var), 8) as var, sum(n)::bigint as n from {STATS} group by 1")
 def attr_ranges(spark, d):
-    return A.speaker_ranges(A.sample_stats(table(spark, d, "events"), ["user_id", "event_type"], "value"), ["user_id"], 6)
+    return A.speaker_ranges(A.sample_stats(table(spark, d, "events"), ["user_id", "event_type"], "value"), ["user_id"], 8)
 
 
 @query("select event_type, round(quantile_cont(value, 0.05), 8) as low, round(quantile_cont(value, 0.95), 8) as high from events group by 1")
@@ -319,26 +319,26 @@ def mean_vector(spark, d):
     return A.mean_vector(table(spark, d, "embeddings"), "label", "embedding").select("label", F.col("pos").cast("bigint").alias("pos"), F.round("mean", 6).alias("mean"))
 
 
-@query("select user_id, round(case when max(value) > 0 then avg(value::decimal(18,2)) else 0.5 end, 6) as average from events group by 1")
+@query("select user_id, round(case when max(value) > 0 then avg(value::decimal(18,2)) else 0.5 end, 8) as average from events group by 1")
 def speaker_average_default(spark, d):
-    return A.average_or_default(table(spark, d, "events").withColumn("value", F.col("value").cast("decimal(18,2)").cast("double")), "user_id", "value", 0.5, 6)
+    return A.average_or_default(table(spark, d, "events").withColumn("value", F.col("value").cast("decimal(18,2)").cast("double")), "user_id", "value", 0.5, 8)
 
 
-@query("""select l_orderkey, l_returnflag, round(avg(l_extendedprice), 6) as mean, round(median(l_extendedprice), 6) as median, round(max(l_extendedprice) - min(l_extendedprice), 6) as span,
-  round(arg_max(l_extendedprice, (l_linenumber, l_partkey, l_suppkey)) - arg_min(l_extendedprice, (l_linenumber, l_partkey, l_suppkey)), 6) as diff from lineitem group by 1, 2""")
+@query("""select l_orderkey, l_returnflag, round(avg(l_extendedprice), 8) as mean, round(median(l_extendedprice), 8) as median, round(max(l_extendedprice) - min(l_extendedprice), 8) as span,
+  round(arg_max(l_extendedprice, (l_linenumber, l_partkey, l_suppkey)) - arg_min(l_extendedprice, (l_linenumber, l_partkey, l_suppkey)), 8) as diff from lineitem group by 1, 2""")
 def segment_stats(spark, d):
-    return A.segments(table(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], "l_extendedprice", F.struct("l_linenumber", "l_partkey", "l_suppkey"), 6)
+    return A.segments(table(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], "l_extendedprice", F.struct("l_linenumber", "l_partkey", "l_suppkey"), 8)
 
 
 @query("""with s as (select user_id, avg(value) as m, stddev_pop(value) as s from events group by 1)
-  select user_id, round(avg(value), 6) as mean, count(*) as n from events join s using (user_id) where abs(value - m) <= 2 * s + 1e-9 group by 1""")
+  select user_id, round(avg(value), 8) as mean, count(*) as n from events join s using (user_id) where abs(value - m) <= 2 * s + 1e-9 group by 1""")
 def outlier_mean(spark, d):
-    return A.robust_mean(table(spark, d, "events"), ["user_id"], "value", 6)
+    return A.robust_mean(table(spark, d, "events"), ["user_id"], "value", 8)
 
 
-@query("select user_id, round(avg(least(greatest(value, a), b)), 6) as mean from events join (select user_id, quantile_cont(value, 0.1) as a, quantile_cont(value, 0.9) as b from events group by 1) using (user_id) group by 1")
+@query("select user_id, round(avg(least(greatest(value, a), b)), 10) as mean from events join (select user_id, quantile_cont(value, 0.1) as a, quantile_cont(value, 0.9) as b from events group by 1) using (user_id) group by 1")
 def clipped_mean(spark, d):
-    return A.clipped_mean(table(spark, d, "events"), ["user_id"], "value", 0.1, 6)
+    return A.clipped_mean(table(spark, d, "events"), ["user_id"], "value", 0.1, 10)
 
 
 @query(f"select distinct seg_id, round(len(ts_by_words) / nullif({DUR}, 0), 6) as rate from audioseg where len(ts_by_words) > 0")
@@ -371,9 +371,9 @@ def contour_cap(spark, d):
     return A.capped(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], 5).select("event_id")
 
 
-@query("select event_type, user_id % 8 as pid, count(*) as calls, round(avg(value), 6) as mean_time, round(max(value), 6) as max_time from events group by 1, 2")
+@query("select event_type, user_id % 8 as pid, count(*) as calls, round(avg(value), 8) as mean_time, round(max(value), 8) as max_time from events group by 1, 2")
 def profile_agg(spark, d):
-    return A.profile(table(spark, d, "events").withColumn("pid", F.col("user_id") % 8), "event_type", "pid", "value", 6)
+    return A.profile(table(spark, d, "events").withColumn("pid", F.col("user_id") % 8), "event_type", "pid", "value", 8)
 
 
 @query("""with a as (select name, row_number() over (order by name) - 1 as id from (select distinct lang as name from documents where lang is not null)), b as (select name, row_number() over (order by name) - 1 as id from (select distinct lang as name from speakers where lang is not null))
@@ -421,11 +421,11 @@ def day(c: str = "ts"):
     return F.to_date(c)
 
 
-@query("select event_id, round(epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts, event_id)), 3) as gap from events")
+@query("select event_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events")
 def gap_to_prev(spark, d):
     e = celled.lag(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], day(), {"prev": "ts"})
     sec = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return e.select("event_id", F.round((sec("ts") - sec("prev")) / 1e6, 3).alias("gap"))
+    return e.select("event_id", (sec("ts") - sec("prev")).alias("gap"))
 
 
 @query("select event_id, lag(event_type) over w as prev_type, lead(event_type) over w as next_type from events window w as (partition by user_id order by ts, event_id)")
