@@ -304,8 +304,9 @@ def assign_sentences(left: DataFrame, right: DataFrame, key: str, order: str, te
 
     a, b = cut(left), cut(right)
     sizes = a.groupBy(key).agg(F.max("_n").alias("_a")).join(b.groupBy(key).agg(F.max("_n").alias("_b")), key)
-    parts = sizes.select(key, F.ceil(F.greatest("_a", "_b") / most).alias("_p"))
-    part = lambda df: df.join(parts, key).withColumn("_g", F.floor((F.col("_i") - 1) * F.col("_p") / F.col("_n")))
+    parts = sizes.select(F.col(key).alias("_k"), F.ceil(F.greatest("_a", "_b") / most).alias("_p"))
+    group = F.floor((F.col("_i") - 1) * F.col("_p") / F.col("_n")).alias("_g")
+    part = lambda df: df.toDF(key, "_o", "_t", "_i", "_n").alias("x").join(parts.toDF("_k", "_p").alias("y"), F.col(f"x.{key}") == F.col("y._k")).select(f"x.{key}", "_o", "_t", "_i", group)
     kinds = left.schema[key].dataType.simpleString(), left.schema[order].dataType.simpleString()
 
     def run(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:

@@ -185,4 +185,4 @@ def balanced_fill(tags: DataFrame, row: str, tag: str, values: list[str], size:
             total += counts[k]
         return pdf.loc[taken, [row]]
 
-    return pool.groupBy(F.lit(0)).applyInPandas(fill, f"`{row}` {sort}")
+    return pool.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(fill, f"`{row}` {sort}")

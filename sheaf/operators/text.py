@@ -134,7 +134,7 @@ def lengths(units: Column) -> Column:
 
 def unit_shares(n: Column) -> Column:
     """Inverse length of its word for every unit."""
-    return F.flatten(F.transform(n, lambda k: F.array_repeat(1.0 / k, F.greatest(k.cast("int"), F.lit(0)))))
+    return F.flatten(F.transform(n, lambda k: F.array_repeat(F.try_divide(F.lit(1.0), k), F.greatest(k.cast("int"), F.lit(0)))))
 
 
 def clauses(a: Column) -> Column:
