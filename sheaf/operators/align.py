@@ -219,18 +219,23 @@ def text_match(target: str, query: str, least: int = 1, sentence: float = 90.0,
 
 
 def edit_likeness(a: str, b: str) -> float:
-    """1 - edit distance over the longer length."""
-    if not a and not b:
-        return 1.0
-    if len(a) < len(b):
-        a, b = b, a
-    cb = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.arange(len(b) + 1)
-    ramp = np.arange(len(b) + 1)
+    """1 - edit distance over the longer length; the distance by columns of bits, one step a character of b."""
+    if not a or not b:
+        return 1.0 if a == b else 0.0
+    where: dict[str, int] = {}
     for i, c in enumerate(a):
-        best = np.minimum(row[1:] + 1, row[:-1] + (cb != ord(c)))
-        row = np.minimum.accumulate(np.concatenate([[i + 1], best]) - ramp) + ramp
-    return 1 - int(row[-1]) / len(a)
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    plus, minus, score = full, 0, len(a)
+    for c in b:
+        hit = where.get(c, 0)
+        down = (((hit & plus) + plus) ^ plus) | hit | minus
+        up, low = minus | (~(down | plus) & full), plus & down
+        score += 1 if up & top else -1 if low & top else 0
+        up = (up << 1 | 1) & full
+        low = low << 1 & full
+        plus, minus = low | (~(down | up) & full), up & down
+    return 1 - score / max(len(a), len(b))
 
 
 def assigned(left: list[str], right: list[str], cutoff: float = 0.0) -> list[tuple[int, int, float]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import book, problems, tables, units  # noqa: F401
+from . import book, problems, streams, tables, units  # noqa: F401
 
 FLAGSHIP = "attr_ranges"
 
