@@ -12,7 +12,7 @@ from .book import query, table
 def stream_batches(spark, d):
     schema = table(spark, d, "events").schema
     out, state = B.place(spark, "batches")
-    s = B.source(spark, f"{d}/events.parquet", schema, max_files=1)
+    s = B.source(spark, f"{d}/events[.]parquet", schema, max_files=1)
     B.run_epoch(s.select("event_id", F.floor(F.col("event_id") / 32).alias("batch_id")), out, state, each=lambda part: part)
     return spark.read.parquet(out).select("event_id", "batch_id")
 
@@ -21,7 +21,7 @@ def stream_batches(spark, d):
 def stream_ratelimit(spark, d):
     schema = table(spark, d, "events").schema
     out, state = B.place(spark, "limit")
-    s = B.source(spark, f"{d}/events.parquet", schema, max_bytes="65536")
+    s = B.source(spark, f"{d}/events[.]parquet", schema, max_bytes="65536")
     B.run_epoch(s.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), out, state, each=lambda part: part, mode="complete")
     last = spark.read.parquet(out)
     return last.where(F.col("epoch_batch") == last.agg(F.max("epoch_batch")).scalar()).select("event_type", "n")
@@ -31,6 +31,6 @@ def stream_ratelimit(spark, d):
 def ext_watermark_dedup(spark, d):
     schema = table(spark, d, "events").schema
     out, state = B.place(spark, "dedup")
-    twice = B.merged([B.source(spark, f"{d}/events.parquet", schema, 1), B.source(spark, f"{d}/events.parquet", schema, 1)])
+    twice = B.merged([B.source(spark, f"{d}/events[.]parquet", schema, 1), B.source(spark, f"{d}/events[.]parquet", schema, 1)])
     B.run_epoch(B.deduplicated(twice, "ts", "60 days", ["event_id"]).select("event_id"), out, state)
     return spark.read.parquet(out)
