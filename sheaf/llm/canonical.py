@@ -144,9 +144,9 @@ def alike(found: DataFrame, key: str) -> DataFrame:
 
     Forms of which all values are the same are left out first, by pre-aggregated extremes, however often they repeat;
     the others meet on their form; skewed forms are split by adaptive execution."""
-    rows = found.select("field", F.col(key).alias("k"), "raw", both(F.col("form")).alias("form")).distinct()
+    rows = found.select("field", F.col(key).alias("k"), "raw", both(F.col("form")).alias("form")).distinct().persist()
     several = rows.groupBy("field", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "form")
-    some = rows.join(several, ["field", "form"])
+    some = rows.join(several, ["field", "form"]).persist()
     a, b = some.alias("a"), some.alias("b")
     pair = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.form") == F.col("b.form")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.k") < F.col("b.k")))
     return pair.select(F.col("a.field").alias("field"), F.col("a.k").alias(f"{key}_a"), F.col("b.k").alias(f"{key}_b")).distinct()
