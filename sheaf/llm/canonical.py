@@ -82,17 +82,17 @@ def suspects(form: str) -> list[tuple[int, int, str]]:
         return []
     tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(form)]
     natures = [nature(t) for _, _, t in tokens]
-    out = []
+    decided = [k for k, (_, sure) in enumerate(natures) if len(sure) == 1]
+    out, d = [], 0
     for k, ((a, b, t), (every, sure)) in enumerate(zip(tokens, natures)):
+        while d < len(decided) and decided[d] < k:
+            d += 1
         if not every or len(sure) > 1 or (len(every) == 1 and sure):
             continue
         aim = sure
-        if not aim:  # look-alikes only: the script around it
-            for d in range(1, len(tokens)):
-                near = [natures[j][1] for j in (k - d, k + d) if 0 <= j < len(tokens) and len(natures[j][1]) == 1]
-                if near:
-                    aim = near[0]
-                    break
+        if not aim:  # look-alikes only: the script of the nearest decided token, the one before first
+            near = [j for j in (decided[d - 1] if d else None, decided[d] if d < len(decided) else None) if j is not None]
+            aim = natures[min(near, key=lambda j: abs(j - k))][1] if near else ""
         if not aim or every == aim:
             continue
         fixed = t.translate(TO[aim])
