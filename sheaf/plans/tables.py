@@ -434,10 +434,10 @@ def prev_next_context(spark, d):
     return celled.lead(e, ["user_id"], ["ts", "event_id"], day(), {"next_type": "event_type"}).select("event_id", "prev_type", "next_type")
 
 
-@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, s - l_quantity as begin, s as \"end\" from (select *, sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding) as s from lineitem)")
+@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, s - l_quantity as begin, s as \"end\" from (select *, sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding) as s from lineitem)")
 def cum_bounds(spark, d):
     li = table(spark, d, "lineitem")
-    s = celled.running_sum(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.floor(F.col("l_linenumber") / 4), F.col("l_quantity"), "s")
+    s = celled.running_sum(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.floor(F.col("l_linenumber") / 4), F.col("l_quantity"), "s")
     return s.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("s") - F.col("l_quantity")).alias("begin"), F.col("s").alias("end"))
 
 
