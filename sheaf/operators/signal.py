@@ -168,6 +168,7 @@ def kernel(f: Callable[..., object], kind: T.DataType):
     @F.pandas_udf(kind)
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in parts:
+            cols = cols if isinstance(cols, tuple) else (cols,)  # one argument comes alone
             out = []
             for row in zip(*cols):
                 if any(v is None for v in row) or len(row[0]) == 0:
