@@ -61,7 +61,8 @@ def faded(wave: Column, left: int, right: int) -> Column:
 
 def preemphasis(wave: Column, beta: float = 0.97) -> Column:
     """x[i] - beta x[i-1]."""
-    return F.zip_with(wave, F.concat(F.array(F.lit(0.0)), F.slice(wave, 1, F.greatest(F.size(wave) - 1, F.lit(0)))), lambda x, y: F.when(x.isNotNull(), x - beta * F.coalesce(y, F.lit(0.0))))
+    before = F.slice(F.concat(F.array(F.lit(0.0)), wave), 1, F.size(wave))
+    return F.zip_with(wave, before, lambda x, y: x - beta * y)
 
 
 def mu_law(wave: Column, bits: int = 16, quantize: bool = False) -> Column:
