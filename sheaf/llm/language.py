@@ -33,6 +33,7 @@ LEVEL = 9
 FEW = 5  # words that a borrowed name or title may have
 FEW_CJK = 8  # the same in Han and kana characters
 MARGIN = 0.06  # least share of the output that the next language must take more
+CLAUSE_MARGIN, CLAUSE_BYTES = 0.15, 6  # the same for a clause to stand apart from its sentence, and in bytes
 
 # Three-letter codes and English names of the languages, by two-letter code.
 NAMES = {
@@ -91,6 +92,12 @@ def verdict(sizes: dict[str, int]) -> tuple[str | None, float, float]:
     return lang, 1 / sum(math.exp(min(0.0, (a - n) / 2)) for n in sizes.values()), margin
 
 
+def apart(sizes: dict[str, int]) -> bool:
+    """Whether the margin of a clause is wide enough to part it from its sentence."""
+    a, b = sorted(sizes.values())[:2]
+    return b - a >= CLAUSE_BYTES and b - a >= CLAUSE_MARGIN * a
+
+
 def weight(script: str, n: int) -> float:
     """How far n words or characters go beyond a borrowed title."""
     return n / (FEW_CJK if script == "H" else FEW)
@@ -130,17 +137,28 @@ def parts(text: str, langs: Languages) -> list[tuple[int, int, str | None, float
                     if weight(s, k) > 1:
                         pieces.append(judge(s, at, cut, k))
                     at = cut
-            named = {x[2] for x in pieces if x[2]}
-            if len(named) > 1:
-                out += [x for x in pieces if x[2]]
+            clear = [x for x in pieces if x[2] and apart(x[5])]
+            if len({x[2] for x in clear}) > 1:
+                out += clear
             else:
                 out.append(whole)
     return out
 
 
+def plain(text: str) -> str:
+    """The consistent form, with all look-alike letters of mixed tokens repaired: which language a word is from needs no
+    proof that the corpus has it."""
+    form = canonical.unified(text)
+    out, at = [], 0
+    for a, b, fixed in canonical.suspects(form):
+        out += [form[at:a], fixed]
+        at = b
+    return "".join([*out, form[at:]]) if out else form
+
+
 def identify(text: str | None, langs: Languages) -> tuple[list[tuple[str, float]], list]:
     """Languages of a text with confidences (several: mixed), and its parts."""
-    found = parts(canonical.unified(text), langs) if text else []
+    found = parts(plain(text), langs) if text else []
     if not found:
         return [], []
     big = [x for x in found if x[4] and x[2]]
