@@ -29,7 +29,7 @@ PROSE, LIST, TABLE, JUNK = range(4)
 TRAIN_DOCS = 4000
 ROUNDS = 3
 #: Share of prose, by characters, from which a document is prose whatever stands beside it.
-ENOUGH = 0.3
+ENOUGH = 0.15
 #: Sizes of the discrete statistics of a line, in the order of Lines.features.
 SIZES = (10, 9, 8, 6, 7, 10, 6, 8, 6, 5, 3, 6, 6, 4)
 
