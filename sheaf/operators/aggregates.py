@@ -150,3 +150,25 @@ def merged_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 def id_pairs(text: Column, separator: str = ":") -> Column:
     """name:id strings as an array of (name, id)."""
     return F.transform(F.split(text, ","), lambda x: F.struct(F.trim(F.split_part(x, F.lit(separator), F.lit(1))).alias("name"), F.split_part(x, F.lit(separator), F.lit(2)).try_cast("int").alias("id")))
+
+
+def mean_of_draws(df: DataFrame, key: str, uid: str, vector: str, k: int, seed: int) -> DataFrame:
+    """Element-wise mean of k vectors a key, drawn with replacement and repeatably: (key, pos, mean). A draw is a place
+    in the numbered vectors of the key."""
+    from . import celled, ordering
+    from .samplers import uniform
+
+    rows = celled.numbered(df.where(F.col(vector).isNotNull()).select(key, uid, vector), [key], [uid], F.floor(F.col(uid) / ordering.WIDTH), "_pos")
+    sizes = rows.groupBy(key).agg(F.max("_pos").alias("_n"))
+    draws = sizes.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("_pos", F.floor(uniform(F.struct(key, "_draw"), seed) * F.col("_n")) + 1)
+    return mean_vector(draws.select(key, "_draw", "_pos").join(rows, [key, "_pos"]), key, vector)
+
+
+def clusters(df: DataFrame, uid: str, vector: str, k: int, seed: int = 0, soft: bool = False) -> DataFrame:
+    """Cluster of each vector (uid, cluster), by bisecting k-means or, soft, a Gaussian mixture; both are distributed."""
+    from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
+    from pyspark.ml.functions import array_to_vector
+
+    x = df.where(F.col(vector).isNotNull()).select(uid, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    model = (GaussianMixture(k=k, seed=seed) if soft else BisectingKMeans(k=k, seed=seed)).fit(x)
+    return model.transform(x).select(uid, F.col("prediction").alias("cluster"))

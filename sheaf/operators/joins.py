@@ -166,3 +166,13 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value:
     )
     out = celled.filled(both, keys, [time, "_side"], cell, "_value", "_as_of")
     return out.where("_side = 1").select(*l_cols, F.col("_as_of").alias(f"as_of_{value}"))
+
+
+def marked_starts(units: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Units (key, pos, begin, ..) with group, the number of the group that they stand in: a group begins with the unit
+    that has the same begin, in microseconds."""
+    us = F.round(F.col("begin") * 1e6).cast("bigint")
+    starts = groups.select(key, us.alias("_us")).distinct().withColumn("_start", F.lit(1))
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = units.withColumn("_us", us).join(starts, [key, "_us"], "left")
+    return out.withColumn("group", F.coalesce(F.sum("_start").over(w), F.lit(0)) - 1).drop("_us", "_start")

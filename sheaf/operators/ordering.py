@@ -59,3 +59,9 @@ def sequential_batches(df: DataFrame, key: str, size: int, lead: list[str] | Non
 def head(df: DataFrame, key: str, n: int) -> DataFrame:
     """The first n rows in key order (a head is the feature here); only n rows a task are kept."""
     return df.orderBy(key).limit(n)
+
+
+def full_batches(df: DataFrame, batch: str, size: int, least: int | None = None) -> DataFrame:
+    """Rows of batches that have the full size, or at least so many rows."""
+    n = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= (least or size)).select(batch)
+    return df.join(n, batch, "left_semi")

@@ -376,3 +376,93 @@ convolved = kernel(convolved_, VECTOR)
 warped = kernel(warped_, MATRIX)
 enhanced = kernel(enhanced_, VECTOR)
 wavelet = kernel(wavelet_, MATRIX)
+
+
+def dithered(wave: Column, level: float, seed: int) -> Column:
+    """The wave with a repeatable normal noise of the given level, by the hash of place and seed."""
+    u = lambda i, k: (F.shiftrightunsigned(F.xxhash64(i, F.lit(seed + k)), 11) + 1) / F.lit(float(2**53 + 1))
+    return F.transform(wave, lambda x, i: x + level * F.sqrt(-2 * F.ln(u(i, 0))) * F.cos(2 * np.pi * u(i, 1)))
+
+
+def gain_curve(wave: Column, points: list[float]) -> Column:
+    """Volume that follows a line through the given factors, evenly spaced over the wave."""
+    curve = N.resample(F.array(*map(F.lit, points)), F.size(wave))
+    return F.zip_with(wave, curve, lambda x, g: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * g)))
+
+
+def clipped_at(values: Column, share: Column) -> Column:
+    """A wave clipped to a quantile of its absolute values (nearest rank)."""
+    top = F.get(F.array_sort(F.transform(values, F.abs)), F.least(F.floor(share * F.size(values)), F.size(values) - 1).cast("int"))
+    return N.let(top, lambda t: F.transform(values, lambda x: F.greatest(-t, F.least(t, x))))
+
+
+RATE_CURVES = ("constant", "fall", "parabola", "down", "up", "question")
+
+
+def rate_curve(n: Column, kind: str, depth: float = 0.2) -> Column:
+    """Speaking rate over n segments: a constant, or a curve of the given depth around 1."""
+    at = lambda i: F.when(n > 1, i / (n - 1)).otherwise(F.lit(0.0))
+    shape = {"constant": lambda t: F.lit(0.0), "fall": lambda t: 1 - t, "parabola": lambda t: 4 * t * (1 - t), "down": lambda t: -t, "up": lambda t: t, "question": lambda t: t * t}[kind]
+    return F.transform(N.indices(n), lambda i: 1 + depth * shape(at(i)))
+
+
+def pause_fades(wave: Column, rate: int, spans: Column, silent: Column) -> Column:
+    """The wave with fades inside its silent units: from the edge of each neighbour that is no silence the volume goes
+    to nothing along a fade curve over half the unit; where the neighbour is silence or the end, that half is zero."""
+
+    def gain(k: Column) -> Column:
+        def one(s: Column, j: Column) -> Column:
+            a, b = F.floor(s["begin"] * rate), F.floor(s["end"] * rate)
+            t = (k - a) / F.greatest(b - a, F.lit(1))
+            before = (j > 0) & ~F.coalesce(F.get(silent, F.greatest(j - 1, F.lit(0))), F.lit(True))
+            after = (j < F.size(spans) - 1) & ~F.coalesce(F.get(silent, F.least(j + 1, F.size(spans) - 1)), F.lit(True))
+            curve = lambda x: F.pow(F.lit(10.0), 4 * (1 - 2 * x)) / 1e4
+            g = F.when(t < 0.5, F.when(before, curve(2 * t)).otherwise(0.0)).otherwise(F.when(after, curve(2 - 2 * t)).otherwise(0.0))
+            return F.when(F.get(silent, j) & (k >= a) & (k < b), g)
+
+        hits = F.filter(F.transform(spans, one), lambda g: g.isNotNull())
+        return F.coalesce(F.get(hits, F.lit(0)), F.lit(1.0))
+
+    return F.transform(wave, lambda x, k: x * gain(k))
+
+
+def gap_margins_cleared_(x: np.ndarray, gap: int = 20, width: int = 8) -> np.ndarray:
+    """A track with zeros over so many values on both sides of every long run of zeros."""
+    out = x.copy()
+    edges = np.flatnonzero(np.diff(np.r_[0, (x <= 0).astype(int), 0]))
+    for a, b in zip(edges[::2], edges[1::2]):
+        if b - a >= gap:
+            out[max(0, a - int(width)) : b + int(width)] = 0
+    return out
+
+
+def curvature_(x: np.ndarray) -> np.ndarray:
+    """Angles of the lines from first to middle and from middle to last value of a segment, and between them."""
+    m = len(x) // 2
+    a = np.arctan2(x[m] - x[0], max(m, 1))
+    b = np.arctan2(x[-1] - x[m], max(len(x) - 1 - m, 1))
+    turn = b - a
+    return np.array([a, b, turn - 2 * np.pi if turn > np.pi else turn + 2 * np.pi if turn < -np.pi else turn])
+
+
+def contour_(x: np.ndarray, points: int = 80, edge: int = 10) -> np.ndarray:
+    """A track in so many points, with lines carried on at both ends and cut off again, mean 0."""
+    n = int(points) + 2 * int(edge)
+    y = np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x)[int(edge) : n - int(edge)]
+    return y - y.mean()
+
+
+def pitch_image_(x: np.ndarray, rate: float, size: int = 1024, hop: int = 256, bands: int = 40, low: float = 60.0, high: float = 500.0) -> np.ndarray:
+    """Normalised difference of each frame at lags of evenly spaced semitones."""
+    frames = framed(x, int(size), int(hop))
+    half = int(size) // 2
+    lags = np.minimum(half - 1, np.round(rate / (low * (high / low) ** np.linspace(0, 1, int(bands))))).astype(int)
+    d = np.stack([((frames[:, :half] - frames[:, t : t + half]) ** 2).sum(1) for t in range(half)], 1)
+    c = np.cumsum(d, 1)
+    return np.stack([d[:, t] * t / np.maximum(c[:, t], 1e-12) for t in lags], 1)
+
+
+gap_margins_cleared = kernel(gap_margins_cleared_, VECTOR)
+curvature = kernel(curvature_, VECTOR)
+contour = kernel(contour_, VECTOR)
+pitch_image = kernel(pitch_image_, MATRIX)

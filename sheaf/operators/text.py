@@ -140,3 +140,32 @@ def unit_shares(n: Column) -> Column:
 def clauses(a: Column) -> Column:
     """Sum of an array, as used for lengths of clauses."""
     return N.array_sum(a)
+
+
+def prosody_codes(tags: Column) -> Column:
+    """Tags as classes from 0 up: tag + 1, null as 0; and back with prosody_tags."""
+    return F.transform(tags, lambda t: F.coalesce(t, F.lit(-1)) + 1)
+
+
+def prosody_tags(codes: Column) -> Column:
+    return F.transform(codes, lambda c: c - 1)
+
+
+def emphasis_labels(units: Column, emphasis: Column) -> Column:
+    """1 for units of words with emphasis, else 0, repeated by the numbers of units of the words."""
+    return F.flatten(F.zip_with(units, emphasis, lambda n, e: F.array_repeat(F.when(F.coalesce(e, F.lit(False)), 1).otherwise(0), n.cast("int"))))
+
+
+def breath_mask(units: Column, levels: Column, silence: str = "<SIL>") -> Column:
+    """Noise level of silent units, -3 where it is not known, -10 for all other units."""
+    return F.zip_with(units, levels, lambda u, v: F.when(u == silence, F.coalesce(v.cast("double"), F.lit(-3.0))).otherwise(-10.0))
+
+
+def subword_places(words_: Column, pieces: Column) -> Column:
+    """For every piece of the words the place of its word: pieces are an array of pieces per word."""
+    return F.flatten(F.transform(F.arrays_zip(words_.alias("w"), pieces.alias("p")), lambda x, i: F.array_repeat(i, F.greatest(F.size(x["p"]), F.lit(0)))))
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row as JSON, for reports."""
+    return F.octet_length(F.to_json(F.struct(*df.columns)))

@@ -174,3 +174,51 @@ def roll_over(df: DataFrame, key: str, size: int = 2000) -> DataFrame:
 
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Images below a folder: origin, height, width, channels, data; files that are none are left out."""
+    return spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+
+
+def read_settings(path: str) -> dict:
+    """A JSON file, or a YAML file where a reader is installed."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            return json.load(f)
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("no YAML reader is installed; use JSON") from e
+        return yaml.safe_load(f)
+
+
+def write_statistics(ranges: DataFrame, folder: str) -> None:
+    """Ranges and other statistics as JSON lines."""
+    ranges.write.mode("overwrite").json(folder)
+
+
+def write_waves(df: DataFrame, folder: str) -> DataFrame:
+    """Waves (path, rate, wave) as PCM WAV files below a shared folder; gives what was written. A task that is run again
+    writes the same file."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            done = []
+            for path, rate, x in zip(p["path"], p["rate"], p["wave"]):
+                if x is None:
+                    continue
+                to = os.path.join(folder, path)
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                with open(f"{to}.{os.getpid()}", "wb") as f:
+                    f.write(encode_wave(x, int(rate)))
+                os.replace(f"{to}.{os.getpid()}", to)
+                done.append((path, len(x)))
+            yield pd.DataFrame(done, columns=["path", "samples"])
+
+    return df.select("path", "rate", "wave").mapInPandas(run, "path string, samples bigint")
+
+
+def readable(df: DataFrame, most: int = 10_000) -> int:
+    """Rows of a stored table that can be read back, of the first ones."""
+    return df.limit(most).count()

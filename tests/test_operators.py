@@ -292,3 +292,66 @@ def test_scalars(spark):
     assert spark.range(1).select(N.clock(F.lit(3725.9)).alias("c")).collect()[0].c == "1:02:05"
     v = spark.sql("select array(3.0D, 1.0D, 3.0D) as a").select(N.argmax(F.col("a")).alias("x"), N.argmin(F.col("a")).alias("n"), N.softmax(F.col("a")).alias("s"), N.running_sum(F.col("a")).alias("r")).collect()[0]
     assert (v.x, v.n) == (0, 1) and sum(v.s) == pytest.approx(1) and v.r == [3.0, 4.0, 7.0]
+
+
+def test_more_intervals(spark):
+    ts = "array(named_struct('begin', 1.0D, 'end', 2.0D), named_struct('begin', 2.1D, 'end', 3.0D), named_struct('begin', 4.0D, 'end', 5.0D))"
+    df = spark.sql(f"select {ts} as t, array(true, false, true) as m, 1 as k")
+    t = F.col("t")
+    pairs = lambda c: [(round(x.begin, 6), round(x.end, 6)) for x in df.select(c.alias("x")).collect()[0].x]
+    assert pairs(timeline.with_edges(t, F.lit(0.5), F.lit(4.5))) == [(0, 0.5), (0.5, 1.5), (1.6, 2.5), (3.5, 4.0), (4.0, 4.0)]
+    assert pairs(timeline.service_units(t, 0.2)) == [(1, 1.2), (1.2, 2), (2.1, 3), (4, 4.8), (4.8, 5)]
+    assert pairs(timeline.agreed_pauses(t, t, 0.5)) == [(1, 2.05), (2.05, 3), (4, 5)]
+    part = pairs(timeline.random_part(t, F.col("k"), 2.0, 3.0, 1))
+    assert part[0][0] == 0 and part[-1][1] <= 3.0 + 1e-6
+    r = df.select(
+        timeline.pauses_from_marks(F.array(F.lit("a"), F.lit(","), F.lit("b")), {",": 2}).alias("p"),
+        timeline.late_places(F.array(*map(F.lit, (1, 5, 2, 3)))).alias("l"),
+        timeline.outer_mask(F.col("m"), F.slice("m", 1, 2)).alias("o"),
+        timeline.unwindowed(timeline.windows(F.array(*map(F.lit, (1.0, 2.0, 3.0))), 2, 1, 1), 2, 1, F.lit(3)).alias("u"),
+    ).collect()[0]
+    assert r.p == ["a", ",", "<SIL>", "<SIL>", "b"] and r.l == [False, True, False, False] and r.o == [[True, False], [False, False], [True, False]] and r.u == [1.0, 2.0, 3.0]
+    u = spark.createDataFrame([(1, p, b, b + 1) for p, b in enumerate((0.0, 1.0, 2.0))], "k int, pos int, begin double, end double")
+    g = joins.marked_starts(u, spark.createDataFrame([(1, 0.0), (1, 2.0)], "k int, begin double"), "k")
+    assert [x["group"] for x in g.orderBy("pos").collect()] == [0, 0, 1]
+
+
+def test_more_signals(spark):
+    df = spark.createDataFrame([([0.5] * 100,)], "w array<double>")
+    sp = F.array(F.struct(F.lit(0.0).alias("begin"), F.lit(0.4).alias("end")), F.struct(F.lit(0.4).alias("begin"), F.lit(0.8).alias("end")), F.struct(F.lit(0.8).alias("begin"), F.lit(1.0).alias("end")))
+    r = df.select(
+        signal.dithered(F.col("w"), 0.01, 3).alias("d"), signal.gain_curve(F.col("w"), [0.0, 1.0]).alias("g"), signal.clipped_at(F.array(*map(F.lit, (0.1, -0.9, 0.5))), F.lit(0.5)).alias("c"),
+        signal.rate_curve(F.lit(3), "parabola").alias("r"), signal.pause_fades(F.col("w"), 100, sp, F.array(F.lit(False), F.lit(True), F.lit(False))).alias("f"), signal.gap_margins_cleared("w", F.lit(5), F.lit(2)).alias("m"),
+    ).collect()[0]
+    assert 0.005 < np.std(r.d) < 0.02 and r.g[0] == 0 and r.g[-1] == 0.5 and r.c == [0.1, -0.5, 0.5] and r.r == pytest.approx([1, 1.2, 1])
+    assert r.f[0] == 0.5 and r.f[40] == 0.5 and r.f[60] < 1e-3 and r.f[99] == 0.5 and r.m == [0.5] * 100
+    assert signal.gap_margins_cleared_(np.array([1.0] * 5 + [0] * 6 + [1.0] * 5), 5, 2).tolist() == [1, 1, 1] + [0] * 10 + [1, 1, 1]
+    assert abs(signal.contour_(np.arange(50.0)).mean()) < 1e-9 and len(signal.contour_(np.arange(50.0))) == 80
+    assert signal.curvature_(np.array([0.0, 1.0, 2.0]))[2] == pytest.approx(0)
+    x = np.sin(2 * np.pi * 100 * np.arange(4000) / 8000)
+    assert signal.pitch_image_(x, 8000, 512, 256).shape[1] == 40
+
+
+def test_more_text_and_aggregates(spark):
+    r = spark.range(1).select(
+        text.prosody_tags(text.prosody_codes(F.array(F.lit(2), F.lit(None)))).alias("p"), text.emphasis_labels(F.array(F.lit(2), F.lit(1)), F.array(F.lit(True), F.lit(None).cast("boolean"))).alias("e"),
+        text.breath_mask(F.array(F.lit("<SIL>"), F.lit("a"), F.lit("<SIL>")), F.array(F.lit(1.5), F.lit(2.0), F.lit(None))).alias("b"), text.subword_places(F.array(F.lit("ab"), F.lit("c")), F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c")))).alias("s"),
+        text.first_labels(F.array(*map(F.lit, (0, 0, 1))), F.array(*map(F.lit, (5, 5, 6)))).alias("f"), text.multi_symbols(F.array(F.lit("a|b|c"), F.lit("d")), "short").alias("m"),
+    ).collect()[0]
+    assert r.p == [2, -1] and r.e == [1, 1, 0] and r.b == [1.5, -10.0, -3.0] and r.s == [0, 0, 1] and r.f == [5, -100, 6] and r.m == ["a|b", "d"]
+    v = spark.createDataFrame([(i, i % 2, [float(i % 2), 1.0]) for i in range(40)] + [(99, 0, None)], "id long, k int, v array<double>")
+    m = {(x.k, x.pos): x.mean for x in aggregates.mean_of_draws(v, "k", "id", "v", 20, 1).collect()}
+    assert m == {(0, 0): 0.0, (0, 1): 1.0, (1, 0): 1.0, (1, 1): 1.0}
+    c = {x.id: x.cluster for x in aggregates.clusters(v, "id", "v", 2).collect()}
+    assert len(c) == 40 and len({c[i] for i in range(0, 40, 2)}) == len({c[i] for i in range(1, 40, 2)}) == 1 and c[0] != c[1]
+    b = ordering.sequential_batches(spark.range(10), "id", 4)
+    assert ordering.full_batches(b, "batch_id", 4).count() == 8
+
+
+def test_python_functions(spark):
+    from sheaf.functions import python
+
+    df = spark.range(6)
+    assert sorted(r.x for r in python.per_partition(df, lambda: 10, lambda o, p: p.assign(x=p["id"] * o)[["x"]], "x long").collect()) == [0, 10, 20, 30, 40, 50]
+    out = python.flat_map(df, lambda r: [(r["id"], 1 // (r["id"] - 2))] * 2 if r["id"] < 4 else [], "id long, v long, message string", errors=True).collect()
+    assert len(out) == 7 and sum(r.message is not None for r in out) == 1
