@@ -12,4 +12,4 @@ def queries() -> dict[str, book.Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(book.SQL)
+    return dict(book.SQL) | problems.SQL
