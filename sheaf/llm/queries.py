@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for queries that it can express."""
-    return {}
+    return {"p7_found": "select doc_id from documents where octet_length(encode(text)) > 0 and octet_length(encode(text)) + 1 > (select max_size from size_limit where item = 'documents.text')"}
