@@ -299,13 +299,13 @@ def assign_sentences(left: DataFrame, right: DataFrame, key: str, order: str, te
 
     A source with more sentences than `most` on a side is cut into parts of that many, at the same shares of both sides,
     so that the likeness matrix of a task stays bounded."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key)
+    from . import celled, ordering
 
     def cut(df: DataFrame) -> DataFrame:
-        place, n = F.row_number().over(w.orderBy(order)), F.count(F.lit(1)).over(w)
-        return df.where(F.col(text).isNotNull()).select(key, F.col(order).alias("_o"), F.col(text).alias("_t"), place.alias("_i"), n.alias("_n"))
+        rows = df.where(F.col(text).isNotNull()).select(key, F.col(order).alias("_o"), F.col(text).alias("_t"))
+        n = rows.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+        numbered = celled.numbered(rows, [key], ["_o"], F.floor(F.col("_o") / ordering.WIDTH), "_i")
+        return numbered.alias("r").join(n.alias("n"), F.col(f"r.{key}") == F.col("n._k")).select(key, "_o", "_t", "_i", "_n")
 
     a, b = cut(left), cut(right)
     sizes = a.groupBy(key).agg(F.max("_n").alias("_a")).join(b.groupBy(key).agg(F.max("_n").alias("_b")), key)

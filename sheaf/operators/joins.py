@@ -147,12 +147,14 @@ def neighbour_pairs(df: DataFrame, key: str, first: str, second: str, seed: int
 RING = 1000
 
 
-def zipped(a: DataFrame, b: DataFrame, key: str, order_a: list[str], order_b: list[str], value: str) -> DataFrame:
-    """Rows of a with the value of b at the same ordinal of the same key; missing ones null. Keys are samples, whose
-    units are few."""
-    x = a.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order_a)))
-    y = b.select(key, value, F.row_number().over(Window.partitionBy(key).orderBy(*order_b)).alias("_i"))
-    return x.join(y, [key, "_i"], "left").withColumnRenamed("_i", "ordinal")
+def zipped(a: DataFrame, b: DataFrame, key: str, order_a: list[str], order_b: list[str], value: str, cell: Column) -> DataFrame:
+    """Rows of a with the value of b at the same ordinal of the same key; missing ones null. cell: what the order of
+    both sides is cut by, so that a key of many rows is numbered in parts."""
+    from . import celled
+
+    x = celled.numbered(a, [key], order_a, cell, "ordinal")
+    y = celled.numbered(b, [key], order_b, cell, "ordinal").select(key, "ordinal", value)
+    return x.join(y, [key, "ordinal"], "left")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, cell: Column) -> DataFrame:

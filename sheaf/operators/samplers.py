@@ -10,7 +10,7 @@ order are broken by the id.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import celled, joins, ordering
@@ -87,9 +87,9 @@ def bucketed_batches(df: DataFrame, key: str, length: str, size: int, seed: int
     sort; batches change places by a hash."""
     rows = df.select(key, (-F.coalesce(F.col(length), F.lit(0))).alias("_d"))
     b = ordering.sequential_batches(rows, key, size, ["_d"]).select(key, "batch_id")
-    ids = b.select("batch_id").distinct()
-    place = ids.select("batch_id", (F.row_number().over(Window.orderBy(F.xxhash64("batch_id", F.lit(seed)), "batch_id")) - 1).cast("bigint").alias("place"))
-    return b.join(place, "batch_id")
+    ids = b.select("batch_id").distinct().withColumn("_h", F.xxhash64("batch_id", F.lit(seed)))
+    place = celled.numbered(ids, [], ["_h", "batch_id"], F.shiftright("_h", 52), "place")
+    return b.join(place.select("batch_id", (F.col("place") - 1).alias("place")), "batch_id")
 
 
 def doubled(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ Defined results: null units count as unknown symbols; empty arrays give empty ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as N
-from . import joins
+from . import celled, joins
 
 UNKNOWN = "<UNK>"
 
@@ -101,13 +101,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}'’-]+"), lambda w: w != "")
 
 
-def pauses(df: DataFrame, key: str, order: str, is_pause: Column) -> DataFrame:
-    """Runs of consecutive pauses of a sample: (key, island, first, last, n)."""
-    w = Window.partitionBy(key).orderBy(order)
-    marked = df.withColumn("_p", is_pause).withColumn("_r", F.row_number().over(w))
-    runs = marked.where("_p").withColumn("_g", F.col("_r") - F.row_number().over(w))
-    out = runs.groupBy(key, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
-    return out.withColumn("island", F.row_number().over(Window.partitionBy(key).orderBy("first"))).drop("_g")
+def pauses(df: DataFrame, key: str, order: str, is_pause: Column, cell: Column) -> DataFrame:
+    """Runs of consecutive pauses of a sample: (key, island, first, last, n). cell: what the order is cut by, see celled."""
+    marked = df.withColumn("_p", F.coalesce(is_pause, F.lit(False)))
+    before = celled.lag(marked, [key], [order], cell, {"_q": "_p"})
+    start = (F.col("_p") & ~F.coalesce(F.col("_q"), F.lit(False))).cast("bigint")
+    numbered = celled.running_sum(before, [key], [order], cell, start, "island")
+    return numbered.where("_p").groupBy(key, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
 def wrapped(units: Column, first: str, last: str, overwrite: bool = False) -> Column:

@@ -256,7 +256,7 @@ def ordinal_labels(spark, d):
     li = table(spark, d, "lineitem")
     order = ["l_linenumber", "l_partkey", "l_suppkey"]
     marks = li.where("l_returnflag = 'R'").withColumn("label", F.col("l_tax"))
-    z = J.zipped(li.where("l_returnflag <> 'R'").select("l_orderkey", *order), marks, "l_orderkey", order, order, "label")
+    z = J.zipped(li.where("l_returnflag <> 'R'").select("l_orderkey", *order), marks, "l_orderkey", order, order, "label", F.floor(F.col("l_linenumber") / 4))
     return z.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("ordinal").cast("bigint").alias("ordinal"), "label")
 
 

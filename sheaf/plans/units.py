@@ -204,18 +204,18 @@ def ssml_modifiers(spark, d):
     return t.select("seg_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 8).alias("factor"))
 
 
-@query("select source_id, rtrim(regexp_replace(string_agg(regexp_replace(orig, '[.!?…]+\\s*$', ''), ', ' order by seg_id), '^$', '')) as joined from (select distinct seg_id, source_id, orig from audioseg where source_id is not null) group by 1")
+@query("select source_id, seg_id // 50 as part, rtrim(string_agg(regexp_replace(orig, '[.!?…]+\\s*$', ''), ', ' order by seg_id)) as joined from (select distinct seg_id, source_id, orig from audioseg where source_id is not null and orig is not null) group by 1, 2")
 def joined_sentences(spark, d):
-    s = table(spark, d, "audioseg").where("source_id is not null").select("seg_id", "source_id", "orig").distinct()
-    g = s.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "orig"))), lambda x: x["orig"]).alias("p"))  # the segments of one recording
-    return g.select("source_id", F.rtrim(X.joined_sentences(F.filter("p", lambda x: x.isNotNull()))).alias("joined"))
+    s = table(spark, d, "audioseg").where("source_id is not null and orig is not null").select("seg_id", "source_id", "orig", F.floor(F.col("seg_id") / 50).alias("part")).distinct()
+    g = s.groupBy("source_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "orig"))), lambda x: x["orig"]).alias("p"))  # at most 50 sentences
+    return g.select("source_id", "part", F.rtrim(X.joined_sentences(F.col("p"))).alias("joined"))
 
 
 @query("""with t as (select user_id, ts, event_id, event_type in ('view', 'click') as p, row_number() over (partition by user_id order by ts, event_id) as r from events), g as (select *, r - row_number() over (partition by user_id order by ts, event_id) as g from t where p)
   select user_id, min(ts) as first, max(ts) as last, count(*) as n from g group by user_id, g""")
 def pause_islands(spark, d):
     e = table(spark, d, "events").withColumn("o", F.struct("ts", "event_id"))
-    i = X.pauses(e.select("user_id", "o", "event_type"), "user_id", "o", F.col("event_type").isin("view", "click"))
+    i = X.pauses(e.select("user_id", "o", "event_type"), "user_id", "o", F.col("event_type").isin("view", "click"), F.to_date("o.ts"))
     return i.select("user_id", F.col("first.ts").alias("first"), F.col("last.ts").alias("last"), "n")
 
 
@@ -323,7 +323,7 @@ def weighted_epoch(spark, d):
 def multi_criteria_epoch(spark, d):
     docs = table(spark, d, "documents")
     w = samplers.idf_weights(docs, "lang").select("lang", "weight")
-    rows = docs.join(F.broadcast(w), docs["lang"].eqNullSafe(w["lang"])).drop(w["lang"])
+    rows = docs.join(joins.small(w), docs["lang"].eqNullSafe(w["lang"])).drop(w["lang"])
     return samplers.multi_criteria_epoch(rows, "doc_id", {"lang": F.col("weight"), "uid": F.lit(1.0)}, 4000, [0.6, 0.4])
 
 
