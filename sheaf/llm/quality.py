@@ -24,14 +24,17 @@ from pyspark.sql import functions as F
 from . import codes as K
 
 KINDS = ("prose", "list", "table", "junk")
-PROSE, LIST, TABLE, JUNK = range(4)
+PROSE, LIST, TABLE, JUNK, REPEAT = range(5)
+#: Kind of each state of the model: junk has two, unreadable lines and repeated ones, which look quite different.
+KIND = np.array([PROSE, LIST, TABLE, JUNK, JUNK])
+STATES = len(KIND)
 #: Documents of the training sample, and rounds of Viterbi training.
 TRAIN_DOCS = 4000
 ROUNDS = 3
 #: Share of prose, by characters, from which a document is prose whatever stands beside it.
 ENOUGH = 0.15
 #: Sizes of the discrete statistics of a line, in the order of Lines.features.
-SIZES = (10, 9, 8, 6, 7, 10, 6, 8, 6, 5, 3, 6, 6, 4)
+SIZES = (10, 9, 8, 6, 7, 10, 6, 8, 6, 5, 4, 6, 7, 4, 3)
 
 
 def buckets(x: np.ndarray, edges: tuple[float, ...]) -> np.ndarray:
@@ -129,6 +132,8 @@ class Lines:
         sizes = np.bincount(word_line, self.width, minlength=total)
         mean = np.where(words > han, (sizes - han) / np.maximum(words - han, 1), 0)
         sentence = count((kind == K.STOP) & np.r_[space[1:] | cjk[1:], True])
+        lead = np.r_[np.uint32(0), flat[:-1]]  # bytes of UTF-8 read as single signs: a first byte, then a following one
+        misread = (lead >= 0xC2) & (lead <= 0xF4) & (((flat >= 0x80) & (flat <= 0xBF)) | (flat == 0x20AC)) & ~((lead >= 0xE0) & (flat == 0xA0))
         share = known / some_words
         effective = (words - han) + han / 2
 
@@ -150,32 +155,34 @@ class Lines:
                 back[lag:] = np.maximum(back[lag:], value)
                 back[:-lag] = np.maximum(back[:-lag], value)
         self.chars = chars[self.rows]
+        m = len(bounds) - 1
+        self.solid = np.bincount(text_of, chars, minlength=m)
+        wrong = np.bincount(text_of, count(misread), minlength=m) / np.maximum(self.solid, 1)  # of the whole text: it was read wrongly as one
         self.features = np.stack(
             [
                 np.minimum(np.log2(self.chars + 1).astype(int), 9),
                 buckets(effective, (0.9, 1.9, 2.9, 3.9, 4.9, 7.9, 11.9, 19.9))[self.rows],
-                buckets(count(letter) / some, (0.1, 0.3, 0.5, 0.65, 0.75, 0.85, 0.92))[self.rows],
+                buckets(count(letter) / np.maximum(chars - count(digit), 1), (0.1, 0.3, 0.5, 0.65, 0.75, 0.85, 0.92))[self.rows],
                 buckets(count(digit) / some, (0.001, 0.08, 0.2, 0.4, 0.7))[self.rows],
-                buckets(count(symbol) / some, (0.001, 0.03, 0.08, 0.15, 0.3, 0.5))[self.rows],
+                buckets(count(symbol) / some, (0.01, 0.03, 0.08, 0.15, 0.3, 0.5))[self.rows],
                 start[self.rows],
                 end[self.rows],
                 delim[self.rows],
                 np.where(effective >= 5, 1 + buckets(share, (0.001, 0.12, 0.25, 0.9)), 0)[self.rows],
                 buckets(repeat, (0.05, 0.2, 0.5, 0.8))[self.rows],
-                back,
+                np.where(repeat[self.rows] >= 0.8, 3, back),
                 buckets(odd, (0.001, 0.02, 0.06, 0.12, 0.25))[self.rows],
-                buckets(mean, (1.5, 3.0, 6.5, 9.0, 14.0))[self.rows],
+                np.where(2 * han > chars, 6, buckets(mean, (1.5, 3.0, 6.5, 9.0, 14.0)))[self.rows],
                 np.minimum(sentence, 3)[self.rows],
+                buckets(wrong, (0.0005, 0.02))[self.text],
             ],
             1,
         )
         # of the texts
-        m = len(bounds) - 1
         word_text = text_of[word_line] if len(word_line) else np.empty(0, np.int64)
         self.word_count = np.bincount(word_text, minlength=m)
         self.word_chars = np.bincount(word_text, self.width, minlength=m)
         self.common_count = np.bincount(word_text, self.common, minlength=m)
-        self.solid = np.bincount(text_of, chars, minlength=m)
         self.symbols = np.bincount(text_of, count(symbol), minlength=m)
         self.line_count = np.bincount(self.text, minlength=m)
         self.closed_count = np.bincount(self.text, self.closed[self.rows], minlength=m)
@@ -183,7 +190,7 @@ class Lines:
 
 def seeds(f: np.ndarray) -> np.ndarray:
     """Labels of the lines that plain rules decide, -1 for all others; only the start of training."""
-    size, words, letters, digits, symbols, start, end, delim, known, repeat, back, odd, mean, sentence = f.T
+    size, words, letters, digits, symbols, start, end, delim, known, repeat, back, odd, mean, sentence, misread = f.T
     out = np.full(len(f), -1)
     out[(words >= 5) & (letters >= 4) & (known >= 2) & (symbols <= 1) & (odd <= 2) & (repeat <= 1) & (delim == 0)] = PROSE
     out[(words >= 1) & (words <= 5) & (end == 5) & (sentence == 0) & (delim == 0) & (letters >= 4) & (odd <= 2) & (repeat <= 1)] = LIST
@@ -192,9 +199,9 @@ def seeds(f: np.ndarray) -> np.ndarray:
     out[(delim >= 1) & (delim <= 6)] = TABLE
     out[(odd >= 4) & (delim != 7) & (delim != 1) & (delim != 2) & (delim != 4)] = JUNK
     out[(symbols >= 5) & (delim != 1)] = JUNK
-    out[(mean >= 5) & (delim != 7) & (size >= 5)] = JUNK
-    out[repeat >= 4] = JUNK
-    out[(back == 2) & (delim == 0)] = JUNK
+    out[misread >= 1] = JUNK
+    out[(mean == 5) & (delim != 7) & (size >= 5)] = JUNK
+    out[(back == 3) | ((back == 2) & (delim == 0))] = REPEAT
     out[(words >= 6) & (known == 1) & (end == 5) & (start == 7) & (sentence == 0)] = JUNK
     return out
 
@@ -220,7 +227,7 @@ class Model:
         begin, length = begin[order], length[order]
         best = score.copy()
         best[begin] += self.first
-        back = np.zeros((n, 4), np.int8)
+        back = np.zeros((n, STATES), np.int8)
         active = len(begin)
         for t in range(1, int(length[0])):
             while active and length[active - 1] <= t:
@@ -245,14 +252,14 @@ def fitted(f: np.ndarray, text: np.ndarray, labels: np.ndarray) -> Model:
     """Tables from labelled lines, smoothed."""
     emit = []
     for i, size in enumerate(SIZES):
-        table = np.full((4, size), 0.5)
-        for k in range(4):
+        table = np.full((STATES, size), 0.5)
+        for k in range(STATES):
             table[k] += np.bincount(f[labels == k, i], minlength=size)[:size]
         emit.append(np.log(table / table.sum(1, keepdims=True)))
-    step = np.full((4, 4), 1.0) + 20 * np.eye(4)
+    step = np.full((STATES, STATES), 1.0) + 20 * np.eye(STATES)
     pair = (text[1:] == text[:-1]) & (labels[1:] >= 0) & (labels[:-1] >= 0)
     np.add.at(step, (labels[:-1][pair], labels[1:][pair]), 1)
-    return Model(emit, np.log(np.array([0.7, 0.1, 0.1, 0.1])), np.log(step / step.sum(1, keepdims=True)))
+    return Model(emit, np.log(np.array([0.7, 0.1, 0.1, 0.05, 0.05])), np.log(step / step.sum(1, keepdims=True)))
 
 
 def train(texts: pa.Array, common: np.ndarray) -> Model:
@@ -319,7 +326,7 @@ def measured(texts: pa.Array, common: np.ndarray, model: Model) -> list[pa.Array
     labels = model.label(x.features, x.text)
     m = len(texts)
     weight = np.zeros((m, 4))
-    np.add.at(weight, (x.text, labels), x.chars)
+    np.add.at(weight, (x.text, KIND[labels]), x.chars)
     total = weight.sum(1)
     with np.errstate(invalid="ignore", divide="ignore"):
         shares = weight / total[:, None]
