@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from . import codes as K
 
 KINDS = ("prose", "list", "table", "junk")
-PROSE, LIST, TABLE, JUNK, REPEAT = range(5)
-#: Kind of each state of the model: junk has two, unreadable lines and repeated ones, which look quite different.
-KIND = np.array([PROSE, LIST, TABLE, JUNK, JUNK])
+PROSE, LIST, TABLE, JUNK, REPEAT, MISREAD = range(6)
+#: Kind of each state of the model: junk has three, unreadable lines, repeated ones and prose in the wrong encoding,
+#: which look quite different.
+KIND = np.array([PROSE, LIST, TABLE, JUNK, JUNK, JUNK])
 STATES = len(KIND)
 #: Documents of the training sample, and rounds of Viterbi training.
 TRAIN_DOCS = 4000
@@ -34,6 +35,8 @@ ROUNDS = 3
 #: Share of prose, by characters, from which a document is prose whatever stands beside it.
 ENOUGH = 0.15
 #: Sizes of the discrete statistics of a line, in the order of Lines.features.
+#: States that one statistic (SIGNS) decides; in all others they allow for any value with a chance of LOOSE.
+OPEN, SIGNS, LOOSE = [REPEAT, MISREAD], (10, 14), 0.1
 SIZES = (10, 9, 8, 6, 7, 10, 6, 8, 6, 5, 4, 6, 7, 4, 3)
 
 
@@ -199,10 +202,10 @@ def seeds(f: np.ndarray) -> np.ndarray:
     out[(delim >= 1) & (delim <= 6)] = TABLE
     out[(odd >= 4) & (delim != 7) & (delim != 1) & (delim != 2) & (delim != 4)] = JUNK
     out[(symbols >= 5) & (delim != 1)] = JUNK
-    out[misread >= 1] = JUNK
     out[(mean == 5) & (delim != 7) & (size >= 5)] = JUNK
     out[(back == 3) | ((back == 2) & (delim == 0))] = REPEAT
-    out[(words >= 6) & (known == 1) & (end == 5) & (start == 7) & (sentence == 0)] = JUNK
+    out[misread >= 1] = MISREAD
+    out[(misread == 0) & (words >= 6) & (known == 1) & (end == 5) & (start == 7) & (sentence == 0)] = JUNK
     return out
 
 
@@ -255,11 +258,14 @@ def fitted(f: np.ndarray, text: np.ndarray, labels: np.ndarray) -> Model:
         table = np.full((STATES, size), 0.5)
         for k in range(STATES):
             table[k] += np.bincount(f[labels == k, i], minlength=size)[:size]
-        emit.append(np.log(table / table.sum(1, keepdims=True)))
+        share = table / table.sum(1, keepdims=True)
+        if i not in SIGNS:
+            share[OPEN] = (1 - LOOSE) * share[OPEN] + LOOSE / size
+        emit.append(np.log(share))
     step = np.full((STATES, STATES), 1.0) + 20 * np.eye(STATES)
     pair = (text[1:] == text[:-1]) & (labels[1:] >= 0) & (labels[:-1] >= 0)
     np.add.at(step, (labels[:-1][pair], labels[1:][pair]), 1)
-    return Model(emit, np.log(np.array([0.7, 0.1, 0.1, 0.05, 0.05])), np.log(step / step.sum(1, keepdims=True)))
+    return Model(emit, np.log(np.array([0.7, 0.1, 0.1, 0.04, 0.03, 0.03])), np.log(step / step.sum(1, keepdims=True)))
 
 
 def train(texts: pa.Array, common: np.ndarray) -> Model:
