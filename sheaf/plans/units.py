@@ -362,18 +362,18 @@ def pair_collate(spark, d):
 
 
 # values
-@query("select event_id, round((value - mn) / (mx - mn), 8) as x from events join (select user_id, min(value) as mn, max(value) as mx from events group by 1 having max(value) - min(value) >= 1) using (user_id)")
+@query("select event_id, round((value - mn) / (mx - mn), 11) as x from events join (select user_id, min(value) as mn, max(value) as mx from events group by 1 having max(value) - min(value) >= 1) using (user_id)")
 def normalize_minmax(spark, d):
     e = table(spark, d, "events")
     r = e.groupBy("user_id").agg(F.min("value").alias("mn"), F.max("value").alias("mx")).where("mx - mn >= 1")
-    return joins.look_up(e, r, ["user_id"], ["mn", "mx"]).select("event_id", F.round((F.col("value") - F.col("mn")) / (F.col("mx") - F.col("mn")), 8).alias("x"))
+    return joins.look_up(e, r, ["user_id"], ["mn", "mx"]).select("event_id", F.round((F.col("value") - F.col("mn")) / (F.col("mx") - F.col("mn")), 11).alias("x"))
 
 
-@query("select event_id, round((value - m) / (4 * s), 8) as x from events join (select user_id, avg(value) as m, stddev_samp(value) as s from events group by 1 having avg(value) >= 1 and var_samp(value) >= 1) using (user_id)")
+@query("select event_id, round((value - m) / (4 * s), 11) as x from events join (select user_id, avg(value) as m, stddev_samp(value) as s from events group by 1 having avg(value) >= 1 and var_samp(value) >= 1) using (user_id)")
 def normalize_znorm(spark, d):
     e = table(spark, d, "events")
     r = e.groupBy("user_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).where("m >= 1 and s * s >= 1")
-    return joins.look_up(e, r, ["user_id"], ["m", "s"]).select("event_id", F.round((F.col("value") - F.col("m")) / (4 * F.col("s")), 8).alias("x"))
+    return joins.look_up(e, r, ["user_id"], ["m", "s"]).select("event_id", F.round((F.col("value") - F.col("m")) / (4 * F.col("s")), 11).alias("x"))
 
 
 @query("select event_id, least(greatest(value, 5), 200) as x from events")

@@ -24,11 +24,11 @@ def plain(x):
     if x is None:
         return None
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else repr(round(x, 10) + 0.0)
+        return "nan" if math.isnan(x) else repr(round(x, 12) + 0.0)
     if isinstance(x, bool):
         return str(x)
     if hasattr(x, "as_tuple"):
-        return repr(round(float(x), 10) + 0.0)
+        return repr(round(float(x), 12) + 0.0)
     if isinstance(x, int):
         return repr(float(x))
     return str(x)
