@@ -124,14 +124,23 @@ def forms(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     marked = read.where("size(spots) > 0").withColumn("row", F.xxhash64("field", key, "raw")).dropDuplicates(["field", key, "raw"])
     spots = marked.select("row", "field", key, "raw", F.explode("spots").alias("s")).withColumn("token", F.lower("s.new"))
     accepted = spots.join(known, "token").groupBy("field", key, "raw").agg(F.array_sort(F.collect_list(F.struct("s.a", "s.n", "s.new"))).alias("fix"))
-    fixed = marked.join(accepted, ["field", key, "raw"], "left").select("field", key, "raw", repaired(F.col("form"), F.col("fix")).alias("form"))
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [repaired(f, x) for f, x in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(whole, pa.string())], names=["field", key, "raw", "form"])
+
+    fixed = marked.join(accepted, ["field", key, "raw"], "left").select("field", key, "raw", "form", "fix").mapInArrow(rebuild, f"field string, `{key}` {sort}, raw string, form string")
     return plain.unionByName(fixed)
 
 
-def repaired(form: Column, fix: Column) -> Column:
-    """The form with the accepted spellings put in. A repair never changes the length, so places stay valid."""
-    put = F.aggregate(fix, form, lambda acc, s: F.overlay(acc, s["new"], s["a"], s["n"]))
-    return F.when(F.size(fix) > 0, put).otherwise(form)
+def repaired(form: str, fix: list[dict] | None) -> str:
+    """The form with the accepted spellings put in, in one pass; a repair never changes the length."""
+    out, at = [], 0
+    for x in fix or ():
+        out += [form[at : x["a"] - 1], x["new"]]
+        at = x["a"] - 1 + x["n"]
+    return "".join([*out, form[at:]]) if out else form
 
 
 def both(value: Column) -> Column:
