@@ -30,3 +30,9 @@ def test_pairs_match_brute_force(spark):
     want = [(i, j) for i, j in combinations(range(len(texts)), 2) if look.get(i) and look.get(i) == look.get(j) and texts[i] != texts[j]]
     assert got == want
     assert C.forms(df.limit(0), "seg_id", ["text"]).count() == 0
+
+
+def test_many_repairs_in_a_long_text(spark):
+    df = spark.createDataFrame([(1, "Dеr Müller sаng. " * 5000), (2, "Der Müller sang. " * 5000)], "seg_id long, text string")
+    forms = {r.seg_id: r.form for r in C.forms(df, "seg_id", ["text"]).collect()}
+    assert forms[1] == forms[2] and len(forms[1]) == 85_000
