@@ -2,8 +2,10 @@
 
 Document-centred disambiguation: whether a stop ends a sentence is decided from how the word before it behaves where
 the text is unambiguous (followed by a lower-case word or a digit, standing at the end of a paragraph, written without
-a stop), first over the whole corpus, with a rule for words too rare to be counted.  Scripts without letter case or
-spaces have their own terminators and line rules.
+a stop), first in the document itself, then, where the document is silent, over the whole corpus, with a rule for words
+too rare to be counted.  Of a capitalised word after a short form, the document tells whether it is a name (capitalised
+inside units, never lower-cased) or a common word (lower-cased, never capitalised inside units).  Initials are decided by
+the corpus only.  Scripts without letter case or spaces have their own terminators and line rules.
 
 Defined results: null, empty and blank texts give no unit; a text without any terminator is one unit per heading, list
 entry or paragraph; repeated rows give repeated units; columns of the input other than id and text are not read.
@@ -39,6 +41,8 @@ TOKEN = re.compile(r"[^\s.,;:!?…。！？।．\"“”„«»‘’()（）
 NOT_TOKEN = set(" \t\n\r　\xa0,;:!?…。！？।．\"“”„«»‘’()（）「」『』[]—/")
 CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]")
 LETTER = re.compile(r"[^\W\d_]")
+LETTERS = re.compile(r"[^\W\d_]+")
+INNER = re.compile(r"(?<=[^\W\d_][^\S\r\n])[^\W\d_]+")  # after a letter and a space: no unit starts here
 SAYS = re.compile(r"(?:说|說|问|問|答|道[：，。]|回答|追问|低声|小声|轻声|大声|喊|叫道|解释|と|って|बोल|कह|पूछ|फुसफुसा|जवाब|चिल्ला|पुकार|जानना|हैरान|दोहरा)")
 HEAD = re.compile(r"\s*(?:[^\W\d_]+\s+)?(?:\d{1,4}|[IVXLCDM]{1,7})\s*(?:[.:)．]|-\w+\.?|$)")
 
@@ -187,6 +191,10 @@ class Evidence:
             return "final"
         return "short" if len(word) <= 3 and word[:1].isupper() and not re.search(r"(?i)[aeiouyаеёиоуыэюяәіөұүáéíóúàèìòùäöü]", word) else "word"
 
+    def counted(self, word: str) -> bool:
+        """Whether the word is frequent enough to be decided by counts."""
+        return sum(self.rows.get(("w", word), (0, 0, 0, 0))[:3]) >= MIN_EVIDENCE
+
     def opener(self, fragment: str) -> bool:
         """Whether the corpus has the fragment before an ellipsis and a lower-case word."""
         return self.rows.get(("f", fragment), (0,))[0] > 0
@@ -195,6 +203,65 @@ class Evidence:
         """Whether sentences of an uncased script end in this word (Han, kana: two last characters)."""
         return self.rows.get(("c", word), (0,))[0] >= 2
 
+    def follows(self, word: str) -> str:
+        """'name', 'common' or 'unknown': only a document tells."""
+        return "unknown"
+
+
+class Document(Evidence):
+    """What a text says about itself; where it is silent, the corpus decides. Read once it is asked."""
+
+    def __init__(self, text: str, corpus: Evidence) -> None:
+        super().__init__()
+        self.text, self.corpus, self.read = text, corpus, False
+        self.words: set[str] | None = None
+
+    def own(self, kind: str, word: str) -> tuple[int, ...]:
+        if not self.read:
+            into: Counter = Counter()
+            evidence(self.text, into)
+            self.rows = tabled(into)
+            self.read = True
+        return self.rows.get((kind, word), (0, 0, 0, 0))
+
+    def _kind(self, word: str) -> str:
+        """Besides the kinds of the corpus: 'either', a short form of which neither the document nor the corpus tells
+        whether it can end a sentence."""
+        if len(word) == 1 and word.isupper() or len(word) > 8:
+            return self.corpus.kind(word)
+        low, up, end, bare = self.own("w", word)
+        seen = low + up + end
+        if low and (bare <= 0.1 * seen or (low >= 0.3 * seen and bare < low)):
+            if end:
+                return "final"
+            sort = self.corpus.kind(word)
+            return sort if sort != "word" and self.corpus.counted(word) else "either"
+        if not low and bare >= 2 and bare >= seen:
+            return "word"
+        return self.corpus.kind(word)
+
+    def opener(self, fragment: str) -> bool:
+        return self.corpus.opener(fragment) or self.own("f", fragment)[0] > 0
+
+    def closes(self, word: str) -> bool:
+        return self.corpus.closes(word) or self.own("c", word)[0] >= 2
+
+    def follows(self, word: str) -> str:
+        if self.words is None:
+            self.words, self.inner = set(LETTERS.findall(self.text)), set(INNER.findall(self.text))
+        lower = word.lower() in self.words
+        if word in self.inner:
+            return "unknown" if lower else "name"
+        return "common" if lower else "unknown"
+
+
+def tabled(into: Counter) -> dict[tuple[str, str], list[int]]:
+    """(kind, word) -> low, up, end, bare."""
+    rows: dict[tuple[str, str], list[int]] = {}
+    for (kind, word, slot), n in into.items():
+        rows.setdefault((kind, word), [0, 0, 0, 0])[slot] += n
+    return rows
+
 
 def tail(text: str, a: int, i: int) -> str:
     """What is counted before a sure terminator of an uncased script."""
@@ -239,6 +306,8 @@ def ends(text: str, a: int, b: int, at: int, m: re.Match, ev: Evidence, cjk: boo
         sort = ev.kind(word)
         if sort == "word":
             return kind in ("upper", "digit", "other", "speech")
+        if sort == "either":
+            return kind == "upper" and (m := LETTERS.search(text, j, b)) is not None and ev.follows(m.group()) == "common"
         return sort == "final" and kind in ("upper", "other", "speech")
     # an ellipsis
     if kind in ("lower",):
@@ -256,6 +325,7 @@ def units(text: str | None, ev: Evidence) -> list[tuple[int, int]]:
     if not text or text.isspace():
         return []
     cjk = is_cjk(text)
+    ev = Document(text, ev)
     out: list[tuple[int, int]] = []
 
     def give(p: int, q: int) -> None:
@@ -320,7 +390,8 @@ def evidence(text: str | None, into: Counter) -> None:
                 if w and len(w) <= 8 and not CJK.match(w[-1]) and not w.isdigit():
                     if "." not in w:
                         into["w", w, 3] -= 1
-                    slot = 2 if i >= last else 0 if kind in ("lower", "digit", "comma") else 1 if kind in ("upper", "other") and j > i else None
+                    line = text.rfind("\n", i, j) + 1
+                    slot = 2 if i >= last or line and MARK.match(text, line, b) else 0 if kind in ("lower", "digit", "comma") else 1 if kind in ("upper", "other") and j > i else None
                     if slot is not None:
                         into["w", w, slot] += 1
             elif set(stops) & STRONG:
@@ -343,9 +414,7 @@ def gather(df: DataFrame, text: str = "text") -> Evidence:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 evidence(t, into)
-        rows: dict[tuple[str, str], list[int]] = {}
-        for (kind, word, slot), n in into.items():
-            rows.setdefault((kind, word), [0, 0, 0, 0])[slot] += n
+        rows = tabled(into)
         cols = [pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())]
         yield pa.RecordBatch.from_arrays(cols + [pa.array([v[i] for v in rows.values()], pa.int64()) for i in range(4)], names=["kind", "word", "low", "up", "fin", "bare"])
 

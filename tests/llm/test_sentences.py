@@ -65,3 +65,28 @@ def test_table(spark):
     got = sorted(tuple(r) for r in S.sentence_units(df).collect())
     assert got == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (5, 0, 100_001)]
     assert S.sentence_units(df.limit(0)).count() == 0
+
+
+def corpus(*texts):
+    into = Counter()
+    for t in texts:
+        S.evidence(t, into)
+    return S.Evidence(S.tabled(into))
+
+
+def cut(text, ev):
+    return [text[a:b] for a, b in S.units(text, ev)]
+
+
+def test_the_document_decides_first():
+    rare = "They sat abt. twelve days. It took abt. Nine men came."  # clear in the document, in no corpus
+    assert cut(rare, S.Evidence()) == ["They sat abt. twelve days.", "It took abt. Nine men came."]
+    # another use in the corpus: there "fig" is a word
+    other = corpus(*["She ate a fig. They saw a fig tree and a fig leaf. One fig fell."] * 9)
+    assert cut("See fig. four. See fig. Twelve now.", other) == ["See fig. four.", "See fig. Twelve now."]
+    assert cut("She ate a fig. Twelve men left.", other) == ["She ate a fig.", "Twelve men left."]
+    # the document tells names from common words after a short form
+    assert cut("They sat abt. twelve days. It took abt. The men came, for the men know Bell.", S.Evidence())[1:] == ["It took abt.", "The men came, for the men know Bell."]
+    assert cut("They sat abt. twelve days. It took abt. Bell came, for men know Bell.", S.Evidence())[1:] == ["It took abt. Bell came, for men know Bell."]
+    # the end of a list entry is no sign of a short form
+    assert cut("1) an empty cradle.\n2) a kettle\n\nHe saw a cradle. Bell left.", S.Evidence())[2:] == ["He saw a cradle.", "Bell left."]
