@@ -1,14 +1,16 @@
 """Samplers: batches, weights, epochs and balanced sets.
 
 Order is a column, randomness a seed and a hash.  Greedy folds work on blocks of BLOCK consecutive rows of a key, which
-bounds what a task holds; a batch never crosses a block.
+bounds what a task holds.  Batches cross the blocks: the open batch at the start of a block follows from one row for
+each earlier block of the key.
 
-Defined results: null lengths count 0; an empty table gives no batch; labels that are null are a class; ties in the
+Defined results: null lengths count 0, negative ones are an error where they would reach over a block; an empty table gives no batch; labels that are null are a class; ties in the
 order are broken by the id.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,19 +39,101 @@ def folded(df: DataFrame, keys: list[str], order: str, cost: str, step, columns:
     return cut.groupBy(*keys, "block").applyInPandas(run, f"{kinds}, block bigint, value {columns}")
 
 
-def overshooting(limit: float, rows: int):
-    """Batch number of each item: a batch closes with the item that takes its sum over the limit, or with its last row."""
+def closing(costs: np.ndarray, start: int, total: float, n: int, limit: float, rows: int) -> tuple[int | None, float, int]:
+    """Place of the item that closes a batch which has total and n before the place start, None if none does; and what
+    the batch then has. Sums are taken one by one."""
+    width = 64
+    while start < len(costs):
+        part = costs[start : start + width]
+        sums = np.add.accumulate(np.r_[total, part])[1:]
+        over = sums > limit
+        k = min(int(over.argmax()) if over.any() else len(part), max(rows - n - 1, 0))
+        if k < len(part):
+            return start + k, float(sums[k]), n + k + 1
+        start, total, n, width = start + len(part), float(sums[-1]), n + len(part), 2 * width
+    return None, total, n
+
+
+def summary(costs: np.ndarray, limit: float, rows: int) -> tuple[list[float], list[int], list[float], list[int]]:
+    """What a block does to any batch that is open at its start: the costs up to the place where even an empty batch
+    closes, and, for a batch that closes at each of these places, how many more batches close in the block, and the sum
+    and the number of rows of the one open at its end."""
+    first, _, _ = closing(costs, 0, 0.0, 0, limit, rows)
+    head = costs[: len(costs) if first is None else first + 1]
+    known: dict[int, tuple[int, float, int]] = {len(costs): (0, 0.0, 0)}
+    for p in range(len(head)):
+        at, path = p + 1, []
+        while at not in known:
+            end, total, n = closing(costs, at, 0.0, 0, limit, rows)
+            if end is None:
+                known[at] = (0, total, n)
+            else:
+                path.append(at)
+                at = end + 1
+        more, total, n = known[at]
+        for x in reversed(path):
+            more += 1
+            known[x] = (more, total, n)
+    exits = [known[p + 1] for p in range(len(head))]
+    return head.tolist(), [x[0] for x in exits], [x[1] for x in exits], [x[2] for x in exits]
+
+
+def overshot(df: DataFrame, keys: list[str], order: str, cost: str, limit: float, rows: int, name: str) -> DataFrame:
+    """(keys, order, block, name): the number, within the key, of the batch of each row; a batch closes with the item that
+    takes its sum over the limit, or with its last row."""
+    pos = celled.numbered(df.select(*keys, order, cost), keys, [order], F.floor(F.col(order) / ordering.WIDTH), "_pos")
+    cut = pos.withColumn("block", F.floor((F.col("_pos") - 1) / BLOCK))
+    kinds = {c: f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, order]}
+    key_kinds = "".join(f"{kinds[k]}, " for k in keys)
+
+    def costs(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf[cost].fillna(0).to_numpy(float)
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        out = pdf[[*keys, "block"]].head(1).copy()
+        for c, x in zip(("_n", "_head", "_more", "_sum", "_rows"), (len(pdf), *summary(costs(pdf), limit, rows))):
+            out[c] = [x]
+        return out
+
+    def entered(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        batch, total, n, got = 0, 0.0, 0, []
+        for r in pdf.itertuples(index=False, name=None):
+            size, head, more, sums, counts = r[-5:]
+            got.append((batch, total, n))
+            p, total, n = closing(np.asarray(head, float), 0, total, n, limit, rows)
+            if p is not None:
+                batch, total, n = batch + 1 + int(more[p]), float(sums[p]), int(counts[p])
+            elif len(head) < size:
+                raise ValueError("negative costs")
+        out = pdf[[*keys, "block"]].copy()
+        out["_batch"], out["_total"], out["_open"] = zip(*got)
+        return out
 
-    def step(costs: list[float]) -> list[int]:
-        out, batch, total, n = [], 0, 0.0, 0
-        for c in costs:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        batch, total, n = pdf[["_batch", "_total", "_open"]].iloc[0]
+        batch, n, out = int(batch), int(n), []
+        for c in costs(pdf).tolist():
             out.append(batch)
             total, n = total + c, n + 1
             if total > limit or n >= rows:
                 batch, total, n = batch + 1, 0.0, 0
-        return out
+        pdf[name] = out
+        return pdf[[*keys, order, "block", name]]
 
-    return step
+    def same(names: list[str]):
+        on = F.lit(True)
+        for k in names:
+            on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        return on
+
+    long = cut.groupBy(*keys).agg(F.max("block").alias("_last")).where("_last > 0")  # others have no block before
+    blocks = cut.alias("l").join(long.alias("r"), same(keys), "left_semi").groupBy(*keys, "block").applyInPandas(summed, f"{key_kinds}block bigint, _n bigint, _head array<double>, _more array<bigint>, _sum array<double>, _rows array<bigint>")
+    entries = blocks.groupBy(*keys).applyInPandas(entered, f"{key_kinds}block bigint, _batch bigint, _total double, _open bigint")
+    whole = cut.alias("l").join(entries.alias("r"), same([*keys, "block"]), "left").select("l.*", *(F.coalesce(f"r.{c}", F.lit(0)).alias(c) for c in ("_batch", "_total", "_open")))
+    return whole.groupBy(*keys, "block").applyInPandas(run, f"{key_kinds}{kinds[order]}, block bigint, `{name}` bigint")
 
 
 def keeping_below(limit: float):
@@ -69,12 +153,12 @@ def keeping_below(limit: float):
 
 def dynamic_batches(df: DataFrame, keys: list[str], order: str, cost: str, limit: float, rows: int) -> DataFrame:
     """(keys, order, block, batch): rows up to the one that takes the sum of costs over the limit, at most so many."""
-    return folded(df, keys, order, cost, overshooting(limit, rows), "bigint").withColumnRenamed("value", "batch")
+    return overshot(df, keys, order, cost, limit, rows, "batch")
 
 
 def packed(df: DataFrame, keys: list[str], order: str, cost: str, limit: float) -> DataFrame:
     """(keys, order, block, pack): items are packed until a pack has more than the limit."""
-    return folded(df, keys, order, cost, overshooting(limit, 1 << 60), "bigint").withColumnRenamed("value", "pack")
+    return overshot(df, keys, order, cost, limit, 1 << 60, "pack")
 
 
 def recut(df: DataFrame, batch: str, order: str, cost: str, limit: float) -> DataFrame:
@@ -168,8 +252,6 @@ def balanced_fill(tags: DataFrame, row: str, tag: str, values: list[str], size:
     sort = m.schema[row].dataType.simpleString()
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         pdf = pdf.sort_values(["_u", row]).reset_index(drop=True)
         counts = pdf[cols].to_numpy(float)
         taken = pdf["_first"].to_numpy(bool).copy()
