@@ -40,13 +40,22 @@ def tier_gaps(df: DataFrame, key: str, tiers: dict[str, Column], scale: float =
 
     The whole computation is within a row; only the gaps of rows that come more than once would repeat, so the only
     shuffle is that of the found gaps."""
+    return _by_tier(df, key, tiers, scale, array_gaps)
+
+
+def tier_periods(df: DataFrame, key: str, tiers: dict[str, Column], scale: float = 1000.0) -> DataFrame:
+    """One row (key, tier, begin_ms, end_ms) per continuous period of each array column; computed as the gaps are."""
+    return _by_tier(df, key, tiers, scale, array_periods)
+
+
+def _by_tier(df: DataFrame, key: str, tiers: dict[str, Column], scale: float, spans) -> DataFrame:
     parts = []
     for name, arr in tiers.items():
         starts, ends = bounds(arr, scale)
         parts.append(F.struct(F.lit(name).alias("tier"), starts.alias("s"), ends.alias("e")))
     sorted_ = df.select(key, F.explode(F.array(*parts)).alias("t"))
-    gaps = sorted_.select(key, F.col("t.tier").alias("tier"), F.explode(array_gaps(F.col("t.s"), F.col("t.e"))).alias("g"))
-    return gaps.select(key, "tier", F.col("g.begin").alias("begin_ms"), F.col("g.end").alias("end_ms")).distinct()
+    found = sorted_.select(key, F.col("t.tier").alias("tier"), F.explode(spans(F.col("t.s"), F.col("t.e"))).alias("g"))
+    return found.select(key, "tier", F.col("g.begin").alias("begin_ms"), F.col("g.end").alias("end_ms")).distinct()
 
 
 def tall_gaps(df: DataFrame, keys: list[str], begin: str, end: str, width: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bad_rows, intervals
@@ -18,15 +18,19 @@ def p4_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad_rows.split_lines(lines, bad_rows.METADATA).valid
 
 
+def tiers() -> dict[str, Column]:
+    """The intervals of a segment by tier."""
+    return {"words": F.col("ts_by_words"), "phonemes": F.flatten(F.filter("ts_by_phonemes", lambda x: x.isNotNull()))}
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = spark.read.parquet(f"{sf_dir}/audioseg.parquet")
-    return intervals.tier_gaps(seg, "seg_id", {"words": F.col("ts_by_words"), "phonemes": F.flatten(F.filter("ts_by_phonemes", lambda x: x.isNotNull()))})
+    return intervals.tier_gaps(seg, "seg_id", tiers())
 
 
 def p5_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = spark.read.parquet(f"{sf_dir}/audioseg.parquet")
-    starts, ends = intervals.bounds(F.col("ts_by_words"))
-    return seg.select("seg_id", F.explode(intervals.array_periods(starts, ends)).alias("p")).select("seg_id", F.col("p.begin").alias("begin_ms"), F.col("p.end").alias("end_ms")).distinct()
+    return intervals.tier_periods(seg, "seg_id", tiers())
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_valid, p5_found, p5_periods)}

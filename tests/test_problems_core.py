@@ -89,3 +89,13 @@ def test_gaps_match_brute_force(spark):
     assert {tuple(r) for r in intervals.tall_gaps(periods, ["id"], "begin", "end", 20.0).collect()} == want
     per = {k: x for k, x in rows}
     assert periods.where("id = 61").count() == 2 and periods.where("id = 60").count() == 0 and len(per) == 62
+
+
+def test_periods_of_both_tiers(spark, tmp_path):
+    from sheaf.plans import problems
+
+    x = "array<struct<begin:double,end:double>>"
+    rows = [(1, [(0.0, 1.0), (1.0, 2.0), (3.0, 4.0)], [[(0.0, 0.5), (0.4, 1.0)], None, [(3.5, 4.0)]]), (2, None, [[(1.0, 2.0)]]), (3, [], None)]
+    spark.createDataFrame(rows + rows[:1], f"seg_id long, ts_by_words {x}, ts_by_phonemes array<{x}>").write.parquet(f"{tmp_path}/audioseg.parquet")
+    got = sorted((r.seg_id, r.tier, r.begin_ms, r.end_ms) for r in problems.p5_periods(spark, str(tmp_path)).collect())
+    assert got == [(1, "phonemes", 0, 1000), (1, "phonemes", 3500, 4000), (1, "words", 0, 2000), (1, "words", 3000, 4000), (2, "phonemes", 1000, 2000)]
