@@ -8,12 +8,15 @@ Defined results: an empty side aligns with gaps only; null sides give null; ties
 
 from __future__ import annotations
 
+import math
+import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,9 +119,7 @@ def ordered_match(short: list[str], long: list[str], farthest: int | None = None
         tails = [score[-1]]
         for i in range(n - 2, -1, -1):
             nxt = tails[0]
-            reach = np.full(m, -np.inf)
-            for j in range(m - 1):
-                reach[j] = nxt[j + 1 : j + 1 + step].max()
+            reach = np.lib.stride_tricks.sliding_window_view(np.concatenate([nxt[1:], np.full(step, -np.inf)]), step).max(1)
             tails.insert(0, score[i] + reach)
         total = tails[0].max() + (10.0 / step if n > 1 else 0)
         if not np.isfinite(total) or total < best_total - 1e-9:
@@ -136,85 +137,52 @@ def ordered_match(short: list[str], long: list[str], farthest: int | None = None
 
 def tokens(text: str) -> list[str]:
     """Words and single marks, lower-cased."""
-    import re
-
     return re.findall(r"\w+(?:['’]\w+)*|[^\w\s]", text.lower())
 
 
-class Keywords:
-    """Words of a text in chunks: each word with the marks after it; short words join the chunk before, except the
-    first and the last."""
-
-    def __init__(self, text: str, least: int = 1) -> None:
-        items = tokens(text)
-        words = [i for i, t in enumerate(items) if t[0].isalnum() or t[0] == "_"]
-        self.chunks: list[tuple[list[str], str, int]] = []
-        for k, i in enumerate(words):
-            stop = words[k + 1] if k + 1 < len(words) else len(items)
-            part = items[i if k else 0 : stop]
-            edge = items[i] in (items[words[0]], items[words[-1]])
-            if len(items[i]) >= least or edge:
-                self.chunks.append((part, items[i], 0 if k else i))
-            else:
-                a, w, p = self.chunks[-1]
-                self.chunks[-1] = (a + part, w, p)
-
-    @property
-    def words(self) -> list[str]:
-        return [w for _, w, _ in self.chunks]
-
-    def place(self, k: int) -> int:
-        """Place of a keyword among all tokens."""
-        return sum(len(c) for c, _, _ in self.chunks[:k]) + self.chunks[k][2]
-
-    def at(self, token: int) -> int:
-        """The keyword whose chunk has the token, or the next."""
-        for k in range(len(self.chunks)):
-            if self.place(k) + len(self.chunks[k][0]) - self.chunks[k][2] > token:
-                return k
-        return len(self.chunks) - 1
-
-    def drop(self, k: int) -> None:
-        """Removes a keyword; its tokens go to the next chunk, of the last to the one before."""
-        part, _, _ = self.chunks.pop(k)
-        if k < len(self.chunks):
-            a, w, p = self.chunks[k]
-            self.chunks[k] = (part + a, w, p + len(part))
-        elif self.chunks:
-            a, w, p = self.chunks[k - 1]
-            self.chunks[k - 1] = (a + part, w, p)
-
-
-def text_match(target: str, query: str, least: int = 1, sentence: float = 90.0, word: float = 75.0, missing: float = 30.0, region: tuple[int, int] | None = None) -> tuple[list[int], list[int]] | None:
-    """Token places in the target and in the query of the keywords that match, or None. Up to the given percentage of
-    query keywords that fit badly are left out, one at a time."""
-    t, q = Keywords(target), Keywords(query, least)
-    if not t.chunks or not q.chunks:
+def keywords(items: list[str], least: int = 1) -> list[int]:
+    """Places of the words of at least so many letters; a word that reads like the first or the last one always counts.
+    What stands between two keywords belongs to the one before."""
+    words = [i for i, t in enumerate(items) if t[0].isalnum() or t[0] == "_"]
+    edges = {items[i] for i in words[:1] + words[-1:]}
+    return [i for i in words if len(items[i]) >= least or items[i] in edges]
+
+
+#: Percentages from which a whole match and its two edges count, and of keywords that may be left out.
+WHOLE, EDGE, MISSING = 90.0, 75.0, 30.0
+
+
+def text_match(target: str, query: str, least: int = 1, whole: float = WHOLE, edge: float = EDGE, missing: float = MISSING, region: tuple[int, int] | None = None) -> tuple[list[int], list[int]] | None:
+    """Token places in the target and in the query of the keywords that match, or None. region: first and last token of
+    the target to look at.
+
+    The query fits if all its keywords have increasing partners, the joined keywords of both sides are like enough, and
+    so are the first two and the last two. Else one keyword is given up, and the rest is tried: the first one without a
+    partner, or, if the texts are nearly alike, the first one that differs from its partner."""
+    left, right = tokens(target), tokens(query)
+    heads, mine = keywords(left), keywords(right, least)
+    if not heads or not mine:
         return None
-    low, high = (0, len(t.chunks) - 1) if region is None else (t.at(region[0]), t.at(region[1]))
-    some = t.words[low : high + 1]
-    for _ in range(int(len(q.chunks) * missing / 100) + 1):
-        mine = q.words
-        if len(mine) <= len(some):
-            ti, qi = ordered_match(mine, some), list(range(len(mine)))
+    if region is not None:
+        first, last = (max(0, bisect_right(heads, place) - 1) for place in region)
+        heads = heads[first : last + 1]
+    for given_up in range(int(len(mine) * missing / 100) + 1):
+        a, b = [left[i] for i in heads], [right[i] for i in mine]
+        if len(b) <= len(a):
+            pairs = list(zip(ordered_match(b, a), range(len(b))))
         else:
-            ti, qi = list(range(len(some))), ordered_match(some, mine)
-        if not ti or not qi:
+            pairs = list(zip(range(len(a)), ordered_match(a, b)))
+        if not pairs:
             return None
-        a, b = [some[i] for i in ti], [mine[i] for i in qi]
-        whole = ratio("".join(a), "".join(b))
-        edges = min(ratio("".join(a[:2]), "".join(b[:2])), ratio("".join(a[-2:]), "".join(b[-2:])))
-        if whole >= sentence and edges >= word and len(qi) == len(mine):
-            return [t.place(i + low) for i in ti], [q.place(i) for i in qi]
-        if len(qi) != len(mine):
-            worst = next(i for i in range(len(mine)) if i not in qi)
-        elif whole >= 0.8 * sentence:
-            worst = next((i for k, i in enumerate(qi) if ratio(a[k], b[k]) < word), None)
-        else:
-            worst = None
-        if worst is None or len(q.chunks) == 1:
+        said, meant = [b[j] for _, j in pairs], [a[i] for i, _ in pairs]
+        alike = ratio("".join(meant), "".join(said))
+        lone = sorted(set(range(len(b))) - {j for _, j in pairs})
+        if not lone and alike >= whole and all(ratio("".join(meant[s]), "".join(said[s])) >= edge for s in (slice(2), slice(-2, None))):
+            return [heads[i] for i, _ in pairs], [mine[j] for _, j in pairs]
+        odd = lone or ([j for i, j in pairs if ratio(a[i], b[j]) < edge] if alike >= 0.8 * whole else [])
+        if not odd or len(mine) == 1:
             return None
-        q.drop(worst)
+        del mine[odd[0]]
     return None
 
 
@@ -238,34 +206,109 @@ def edit_likeness(a: str, b: str) -> float:
     return 1 - score / max(len(a), len(b))
 
 
+def best_place(piece: str, text: str) -> tuple[int, int, float]:
+    """Begin and end in the text of the part that is most like the piece, and how like: 1 - edits over the length of the
+    longer of the two. Of equal ones the shortest that ends first. One row of numbers a character of the piece."""
+    n, m = len(piece), len(text)
+    if not n or not m:
+        return 0, 0, 0.0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    step = m + 2  # a value is edits * step + how far the begin is from the end of the text
+    ramp = np.arange(m + 1)
+    row = m - ramp
+    for c in piece:
+        free = np.minimum(row[:-1] + step * (codes != ord(c)), row[1:] + step)
+        head = np.concatenate([[row[0] + step], free])
+        row = np.minimum.accumulate(head - step * ramp) + step * ramp
+    edits, begin = row // step, m - row % step
+    like = 1 - edits / np.maximum(np.maximum(n, ramp - begin), 1)
+    end = int(np.argmax(like))
+    return int(begin[end]), end, float(like[end])
+
+
+#: Least length of a sentence that is looked at for several pieces, likeness to its one partner below which
+#: it is, and least likeness of a piece to its part.
+LONG, SINGLE, PART = 20, 0.9, 0.5
+
+
+def pieced(pieces: list[str], text: str, least: list[float]) -> tuple[float, list[tuple[int, int, int, float]]]:
+    """How like the text a chain of pieces is, and the chain: (piece, begin, end, likeness) in order of the text. Each
+    piece stands where it fits best; the chain is the one that leaves the fewest characters wrong or uncovered, parts
+    of pieces that overlap not being taken together. least: the likeness that each piece needs."""
+    spans: dict[int, list[tuple[int, int, float]]] = {}
+    for k, (p, enough) in enumerate(zip(pieces, least)):
+        begin, end, like = best_place(p, text)
+        if like >= enough and end > begin:
+            spans.setdefault(end, []).append((begin, k, like))
+    cost: list[float] = [0.0]
+    via: list[tuple[int, int, float] | None] = [None]
+    for place in range(1, len(text) + 1):
+        best, by = cost[-1] + 1, None
+        for begin, k, like in spans.get(place, ()):
+            if (c := cost[begin] + (1 - like) * (place - begin)) < best:
+                best, by = c, (begin, k, like)
+        cost.append(best)
+        via.append(by)
+    chain, place = [], len(text)
+    while place:
+        if (by := via[place]) is None:
+            place -= 1
+        else:
+            chain.append((by[1], by[0], place, by[2]))
+            place = by[0]
+    return 1 - cost[-1] / max(1, len(text)), chain[::-1]
+
+
+def normal(text: str, patterns: list[tuple[str, str]]) -> str:
+    """The text after replacements by regular expressions, in the composed compatibility form."""
+    for pattern, new in patterns:
+        text = re.sub(pattern, new, text)
+    return unicodedata.normalize("NFKC", text)
+
+
+def order_bonus(share: float) -> float:
+    """Worth of keeping the order when such a share of the left side has a partner. At most 0.5, a
+    logistic curve of steepness 5 around one half."""
+    return 0.5 / (1 + math.exp(-5 * (share - 0.5)))
+
+
 def assigned(left: list[str], right: list[str], cutoff: float = 0.0) -> list[tuple[int, int, float]]:
-    """(place in left, place in right, likeness): pairs are taken greedily, long and like ones first; pairs that keep
-    the order of those taken get a bonus that grows with their number."""
-    a, b = ([unicodedata.normalize("NFKC", x) for x in side] for side in (left, right))
-    like = np.array([[edit_likeness(x, y) for y in b] for x in a]).reshape(len(a), len(b))
-    size = np.array([len(x) for x in right], float)
-    taken: dict[int, tuple[int, float]] = {}
-    free_l, free_r = np.ones(len(a), bool), np.ones(len(b), bool)
-    for _ in range(min(len(a), len(b))):
-        fits = np.zeros(like.shape, bool)
-        i0 = j0 = 0
-        for i1, j1 in [*((i, taken[i][0]) for i in sorted(taken)), (len(a), len(b))]:
-            if j1 >= j0:
-                fits[i0:i1, j0:j1] = True
-            else:
-                fits[i0:i1] = False
-                fits[:, j1:j0] = False
-            i0, j0 = i1, j1
-        bonus = 0.5 / (1 + np.exp(5 * (0.5 - len(taken) / len(a))))
-        rank = (like + bonus * fits) * size
-        rank[~free_l] = -np.inf
-        rank[:, ~free_r] = -np.inf
-        i, j = np.unravel_index(int(rank.argmax()), rank.shape)
-        if not np.isfinite(rank[i, j]) or like[i, j] < cutoff:
+    """(place in left, place in right, likeness). Pairs are taken one by one: the one with the greatest product of the
+    length of the right text and its likeness, the latter with order_bonus if the pair keeps the order, that is, if its
+    right place lies between those of the nearest left neighbours that are taken."""
+    n, m = len(left), len(right)
+    like = np.array([[edit_likeness(x, y) for y in right] for x in left]).reshape(n, m)
+    length, places, rows = np.array([len(y) for y in right], float), np.arange(m), np.arange(n)
+    partner, open_left, open_right = np.full(n, -1), np.ones(n, bool), np.ones(m, bool)
+    for done in range(min(n, m)):
+        taken = partner >= 0
+        before, after = np.maximum.accumulate(np.where(taken, rows, -1)), np.minimum.accumulate(np.where(taken, rows, n)[::-1])[::-1]
+        low, high = np.append(partner, -1)[before], np.append(partner, m)[after]
+        ordered = (places > low[:, None]) & (places < high[:, None])
+        worth = np.where(open_left[:, None] & open_right, (like + order_bonus(done / n) * ordered) * length, -np.inf)
+        i, j = divmod(int(worth.argmax()), m)
+        if worth[i, j] == -np.inf or like[i, j] < cutoff:
             break
-        taken[int(i)] = (int(j), float(like[i, j]))
-        free_l[i] = free_r[j] = False
-    return [(i, j, s) for i, (j, s) in sorted(taken.items())]
+        partner[i], open_left[i], open_right[j] = j, False, False
+    return [(int(i), int(partner[i]), float(like[i, partner[i]])) for i in np.flatnonzero(partner >= 0)]
+
+
+def placed(left: list[str], right: list[str], cutoff: float = 0.0) -> list[tuple[int, int, float, int, int]]:
+    """(place in left, place in right, likeness, begin, end): what assigned gives, each partner over the whole right
+    text; but a right text that several left ones make up better than its one partner gets all of them, each with the
+    characters that it stands for. A left text with another partner is used if it is more like its part here."""
+    out = {i: (j, s, 0, len(right[j])) for i, j, s in assigned(left, right, cutoff)}
+    for j, text in enumerate(right):
+        like = max((s for k, s, _, _ in out.values() if k == j), default=0.0)
+        if len(text) < LONG or like >= SINGLE:
+            continue
+        use = [i for i in range(len(left)) if left[i] and (i not in out or out[i][0] == j or out[i][1] < SINGLE)]
+        score, chain = pieced([left[i] for i in use], text, [out[i][1] + 1e-9 if i in out and out[i][0] != j else PART for i in use])
+        if len(chain) > 1 and score > like:
+            out = {i: x for i, x in out.items() if x[0] != j}
+            for k, begin, end, s in chain:
+                out[use[k]] = (j, s, begin, end)
+    return [(i, *x) for i, x in sorted(out.items())]
 
 
 @F.pandas_udf(PAIRS)
@@ -294,32 +337,65 @@ def matched(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
         yield pd.DataFrame(rows, columns=["target_places", "query_places"])
 
 
-def assign_sentences(left: DataFrame, right: DataFrame, key: str, order: str, text: str, most: int = 2000) -> DataFrame:
-    """(key, left_order, right_order, likeness) for the sentences of two versions of each source.
+#: Marks and runs of white space do not count when sentences are compared.
+PLAIN = [(r"[^\w\s]+", ""), (r"\s+", " ")]
+
 
-    A source with more sentences than `most` on a side is cut into parts of that many, at the same shares of both sides,
-    so that the likeness matrix of a task stays bounded."""
+def assign_sentences(left: DataFrame, right: DataFrame, key: str, order: str, text: str, most: int = 2000, patterns: list[tuple[str, str]] = PLAIN) -> DataFrame:
+    """(key, left_order, right_order, likeness, begin, end) for the sentences of two versions of each source.
+
+    Sentences that come once on each side of a source, in the same words, are anchors; those whose rank among all
+    anchors is the same on both sides keep the order, and cut the source into parts, which are matched by themselves.
+    So a part is short wherever the versions agree, at any size of the source. A part of more than `most` sentences on a
+    side, which has no anchor, is matched in windows of that many left sentences against the right ones of the same
+    share and of the windows on both sides; of left sentences that choose the same right one the most like keeps it.
+    begin and end are places in the right sentence as it is compared, that is, after the patterns and in lower case."""
     from . import celled, ordering
 
-    def cut(df: DataFrame) -> DataFrame:
-        rows = df.where(F.col(text).isNotNull()).select(key, F.col(order).alias("_o"), F.col(text).alias("_t"))
-        n = rows.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-        numbered = celled.numbered(rows, [key], ["_o"], F.floor(F.col("_o") / ordering.WIDTH), "_i")
-        return numbered.alias("r").join(n.alias("n"), F.col(f"r.{key}") == F.col("n._k")).select(key, "_o", "_t", "_i", "_n")
-
-    a, b = cut(left), cut(right)
-    sizes = a.groupBy(key).agg(F.max("_n").alias("_a")).join(b.groupBy(key).agg(F.max("_n").alias("_b")), key)
-    parts = sizes.select(F.col(key).alias("_k"), F.ceil(F.greatest("_a", "_b") / most).alias("_p"))
-    group = F.floor((F.col("_i") - 1) * F.col("_p") / F.col("_n")).alias("_g")
-    part = lambda df: df.toDF(key, "_o", "_t", "_i", "_n").alias("x").join(parts.toDF("_k", "_p").alias("y"), F.col(f"x.{key}") == F.col("y._k")).select(f"x.{key}", "_o", "_t", "_i", group)
+    @F.pandas_udf("string")
+    def compared(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in parts:
+            yield pd.Series([None if t is None else normal(t, patterns).casefold().strip() for t in x], dtype=object)
+
+    def cell(c: str) -> Column:
+        return F.floor(F.col(c) / ordering.WIDTH)
+
+    def rows(df: DataFrame) -> DataFrame:
+        some = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(order).alias("_o"), compared(text).alias("_t"))
+        return celled.numbered(some.withColumn("_h", F.xxhash64("_t")), ["_k"], ["_o"], cell("_o"), "_i")
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        return df.where("_t <> ''").groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("_n"), F.max("_i").alias(name)).where("_n = 1").drop("_n")
+
+    a, b = rows(left), rows(right)
+    both = once(a, "_x").join(once(b, "_y"), ["_k", "_h"]).drop("_h")
+    ranked = celled.numbered(celled.numbered(both, ["_k"], ["_x"], cell("_x"), "_p"), ["_k"], ["_y"], cell("_y"), "_q")
+    anchors = ranked.where("_p = _q").select("_k", "_x", "_y")
+
+    def parts(df: DataFrame, at: str) -> DataFrame:
+        marked = df.join(anchors.select("_k", F.col(at).alias("_i"), F.lit(1).cast("bigint").alias("_a")), ["_k", "_i"], "left")
+        return celled.running_sum(marked, ["_k"], ["_i"], cell("_i"), F.coalesce("_a", F.lit(0).cast("bigint")), "_part").drop("_a", "_h")
+
+    a, b = parts(a, "_x"), parts(b, "_y")
+    size = lambda df, n: df.groupBy("_k", "_part").agg(F.count(F.lit(1)).alias(n), F.min("_i").alias(f"{n}_from"))
+    sizes = size(a, "_n").join(size(b, "_m"), ["_k", "_part"]).withColumn("_w", F.ceil(F.greatest("_n", "_m") / most))
+    share = lambda df, n: df.join(sizes.select("_k", "_part", "_w", n, f"{n}_from"), ["_k", "_part"]).withColumn("_g", F.floor((F.col("_i") - F.col(f"{n}_from")) * F.col("_w") / F.col(n)))
+    x = share(a, "_n").select("_k", "_part", "_g", "_i", "_o", "_t")
+    near = F.sequence(F.greatest(F.col("_g") - 1, F.lit(0)), F.least(F.col("_g") + 1, F.col("_w") - 1))
+    y = share(b, "_m").withColumn("_g", F.explode(near)).select("_k", "_part", "_g", "_i", "_o", "_t")
     kinds = left.schema[key].dataType.simpleString(), left.schema[order].dataType.simpleString()
 
-    def run(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        cols = [key, "left_order", "right_order", "likeness"]
-        if not len(x) or not len(y):
+    def run(_, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        cols = [key, "left_order", "right_order", "likeness", "begin", "end"]
+        if not len(p) or not len(q):
             return pd.DataFrame({c: [] for c in cols})
-        x, y = x.sort_values("_i"), y.sort_values("_i")
-        got = assigned(x["_t"].tolist(), y["_t"].tolist())
-        return pd.DataFrame([(x[key].iloc[0], x["_o"].iloc[i], y["_o"].iloc[j], s) for i, j, s in got], columns=cols)
-
-    return part(a).groupBy(key, "_g").cogroup(part(b).groupBy(key, "_g")).applyInPandas(run, f"`{key}` {kinds[0]}, left_order {kinds[1]}, right_order {kinds[1]}, likeness double")
+        p, q = p.sort_values("_i"), q.sort_values("_i")
+        got = placed(p["_t"].tolist(), q["_t"].tolist())
+        return pd.DataFrame([(p["_k"].iloc[0], p["_o"].iloc[i], q["_o"].iloc[j], s, u, v) for i, j, s, u, v in got], columns=cols)
+
+    on = ["_k", "_part", "_g"]
+    found = x.groupBy(*on).cogroup(y.groupBy(*on)).applyInPandas(run, f"`{key}` {kinds[0]}, left_order {kinds[1]}, right_order {kinds[1]}, likeness double, begin int, end int")
+    # only windows can give a right sentence, or a stretch of it, to left ones that do not know of each other
+    rival = Window.partitionBy(key, "right_order").orderBy(F.desc("likeness"), "left_order")
+    reach = F.max("end").over(rival.rowsBetween(Window.unboundedPreceding, -1)), F.min("begin").over(rival.rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumns({"_e": reach[0], "_b": reach[1]}).where("_e is null or begin >= _e or end <= _b").drop("_e", "_b")
