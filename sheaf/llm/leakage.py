@@ -1,14 +1,17 @@
 """Evaluation passages inside training documents (problem 8).
 
-Size-partitioned MinHash containment search: items fall into partitions by their number of word shingles; for each
-partition the documents are cut into overlapping windows of that size, so that the Jaccard similarity of a window and a
-contained item stays high however long the document is; windows and items that share a MinHash value are candidates.
-Each candidate is then verified exactly: which words of the item stand in the document in matching shingles, in order
-and in one place.
-
-Defined results: null, empty and blank documents or passages hold and are held by nothing; passages shorter than the
-verification shingle are never found; repeated rows of documents give repeated findings; items that repeat a passage
-under another id are found under both ids; extra columns are not read.
+Size-partitioned MinHash containment search: items fall into partitions by their number of words; for each partition the
+documents are cut into overlapping windows of that size, so that the Jaccard similarity of a window and a contained item
+stays high however long the document is; windows and items that share a MinHash value are candidates.  Each candidate is
+then verified by exact containment: which words of the item stand in the document in shingles that both have, in order
+and in one place, with the words around them that stand in their place and the single changed words between those.
+
+Shingles have three words: scattered words may be changed, and where every fifth word is, no shingle of five is left.
+
+Defined results: null, empty and blank documents or passages hold and are held by nothing; of a passage of one or two
+words all must stand in the document side by side, of longer ones at least three words in a row; repeated rows of
+documents give repeated findings; items that repeat a passage under another id are found under both ids; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +26,7 @@ from pyspark.sql import functions as F
 
 from . import codes as K
 
-SHINGLE = 5  # words of a shingle in the search
-EXACT = 3  # words of a shingle in the verification
+SHINGLE = 3  # words of a shingle
 PERMUTATIONS = 64
 SHARE = 0.4  # least share of the passage
 #: Items held by a worker at once; more items are searched in blocks of this size, one pass over the documents each.
@@ -34,8 +36,6 @@ TABLE = 64_000_000
 LOW = np.uint64((1 << 22) - 1)
 #: Rows of the verification handled at once.
 ROWS = 2_000_000
-#: Words of a passage whose places are told apart in the first of two verification steps.
-LONGEST = 1 << 14
 
 
 class Items:
@@ -47,9 +47,18 @@ class Items:
         own = K.owner(at, bounds)
         self.ids = np.array(ids)
         first = np.searchsorted(own, np.arange(len(ids) + 1))  # the words of an item stand together
-        s5, s3 = K.shingles(h, own, SHINGLE), K.shingles(h, own, EXACT)
+        s3 = K.shingles(h, own, SHINGLE)
         self.size = np.diff(first)
-        #: all verification shingles, and for each item those it has, sorted, with their places
+        self.words = [h[a:b] for a, b in zip(first[:-1], first[1:])]
+        #: passages too short for a shingle, by number of words: hashes, sorted, and their items
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, SHINGLE):
+            tiny = np.flatnonzero(self.size == n)
+            value = K.shingles(h, own, n)[first[tiny]]
+            order = np.argsort(value, kind="stable")
+            if len(tiny):
+                self.short[n] = value[order], tiny[order]
+        #: all shingles, and for each item those it has, sorted, with their places
         self.exact = []
         self.vocabulary = np.unique(s3[s3 != 0])
         for i in range(len(ids)):
@@ -78,8 +87,8 @@ class Items:
             return
         lows = []
         for p in range(PERMUTATIONS):
-            v = permuted(s5, p)
-            v[s5 == 0] = NONE
+            v = permuted(s3, p)
+            v[s3 == 0] = NONE
             lows.append(np.minimum.reduceat(v, first[some]))
         full = lows[0] != NONE
         for g in np.unique(self.grade[some[full]]):
@@ -109,21 +118,26 @@ def permuted(s: np.ndarray, p: int) -> np.ndarray:
         return v
 
 
-def candidates(s5: np.ndarray, texts: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end (in words) of document windows and an item that shares a MinHash value with them."""
-    n, count = len(s5), len(items.ids)
+def windows(texts: np.ndarray, g: int) -> np.ndarray:
+    """Where the blocks of half a window of grade g begin; a window is a block and the next of the same text."""
     change = np.r_[True, texts[1:] != texts[:-1]]
-    within = np.arange(n) - np.flatnonzero(change)[np.cumsum(change) - 1]
-    valid = s5 != 0
+    within = np.arange(len(texts)) - np.flatnonzero(change)[np.cumsum(change) - 1]
+    return np.flatnonzero(within % (1 << (g - 1)) == 0)
+
+
+def candidates(s: np.ndarray, texts: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end (in words) of document windows and an item that shares a MinHash value with them."""
+    count = len(items.ids)
+    empty = s == 0
     hits: dict[int, list[np.ndarray]] = {g: [] for g in items.minima}
-    cut = {g: np.flatnonzero(within % (1 << (g - 1)) == 0) for g in items.minima}
+    cut = {g: windows(texts, g) for g in items.minima}
     for p in range(PERMUTATIONS):
-        v = permuted(s5, p)
-        v[~valid] = NONE
+        v = permuted(s, p)
+        v[empty] = NONE
         for g, starts in cut.items():
             low, members = items.minima[g][p]
             block = np.minimum.reduceat(v, starts)
-            pair = block.copy()  # a window is a block and the next of the same text
+            pair = block.copy()
             same = texts[starts[1:]] == texts[starts[:-1]]
             pair[:-1] = np.where(same, np.minimum(block[:-1], block[1:]), block[:-1])
             left, right = np.searchsorted(low, pair, "left"), np.searchsorted(low, pair, "right")
@@ -132,22 +146,46 @@ def candidates(s5: np.ndarray, texts: np.ndarray, items: Items) -> tuple[np.ndar
                 hits[g].append(w * count + members[left[w]])
                 left[w] += 1
                 w = w[right[w] > left[w]]
+    return spans({g: (cut[g], found) for g, found in hits.items()}, len(s), count)
+
+
+def sharing(sid: np.ndarray, texts: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for all windows that have any shingle of an item: the exact search."""
+    count, at = len(items.ids), np.flatnonzero(sid >= 0)
+    left, right = np.searchsorted(items.postings[:-1], sid[at] * count), np.searchsorted(items.postings[:-1], (sid[at] + 1) * count)
+    word = np.repeat(at, right - left)
+    item = items.postings[np.arange(len(word)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + np.repeat(left, right - left)] % count
+    found = {}
+    for g in items.minima:
+        starts = windows(texts, g)
+        mine = items.grade[item] == g
+        w = np.searchsorted(starts, word[mine], "right") - 1
+        back = np.maximum(w - 1, 0)
+        before = (w > 0) & (texts[starts[back]] == texts[starts[w]])
+        found[g] = starts, [w * count + item[mine], back[before] * count + item[mine][before]]
+    return spans(found, len(sid), count)
+
+
+def spans(found: dict[int, tuple[np.ndarray, list[np.ndarray]]], n: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and item of (block, item) keys by grade, each once."""
     begin, end, item = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for g, found in hits.items():
-        if found:
-            keys = np.unique(np.concatenate(found))
-            stops = np.r_[cut[g], n, n]
-            begin.append(stops[keys // count])
-            end.append(stops[keys // count + 2])
-            item.append(keys % count)
+    for starts, keys in found.values():
+        if keys:
+            k = np.unique(np.concatenate(keys))
+            stops = np.r_[starts, n, n]
+            begin.append(stops[k // count])
+            end.append(stops[k // count + 2])
+            item.append(k % count)
     return np.concatenate(begin), np.concatenate(end), np.concatenate(item)
 
 
-def coverage(item: tuple[np.ndarray, np.ndarray], size: int, hit: np.ndarray, sid: np.ndarray) -> float:
-    """Share of the item's words in shingles that the document has in the same order and in one place, that is, with
-    nearly the same distance between place in the document and place in the item. item: its shingles, sorted, and
-    their places; hit: places of the document; sid: its shingles."""
+def coverage(item: tuple[np.ndarray, np.ndarray], words: np.ndarray, hit: np.ndarray, sid: np.ndarray, h: np.ndarray) -> float:
+    """Share of the item's words that the document has in the same order and in one place: words in shingles that both
+    have with nearly the same distance between place in the document and place in the item, and, between such shingles,
+    words that stand where the distance of the shingle before or after them lets expect them. item: its shingles, sorted,
+    and their places; words: its words; hit: places of the document; sid, h: shingles and words of the document."""
     known, places = item
+    size = len(words)
     left, right = np.searchsorted(known, sid[hit], "left"), np.searchsorted(known, sid[hit], "right")
     at = np.flatnonzero(right > left)
     d, p = hit[at] - places[left[at]], places[left[at]]
@@ -159,14 +197,51 @@ def coverage(item: tuple[np.ndarray, np.ndarray], size: int, hit: np.ndarray, si
     order = np.argsort(d, kind="stable")
     d, p = d[order], p[order]
     last = np.searchsorted(d, d + max(4, size // 10), "right")
-    rich = np.flatnonzero((last - np.arange(len(d))) * EXACT >= SHARE * size)
+    n = last - np.arange(len(d))
+    rich = np.flatnonzero(n * SHINGLE >= SHARE / 2 * size)
+    rich = rich[np.r_[True, last[rich[1:]] > last[rich[:-1]]]] if len(rich) else rich
     best = 0
-    for i in rich[np.r_[True, last[rich[1:]] > last[rich[:-1]]]] if len(rich) else ():
-        q = np.unique(p[i : last[i]])
-        best = max(best, int(np.minimum(np.diff(q), EXACT).sum()) + EXACT)
+    for i in rich[np.argsort(-n[rich], kind="stable")].tolist():
+        best = max(best, stretch(p[i : last[i]], d[i : last[i]], words, h))
+        if best >= SHARE * size:
+            break
     return best / size
 
 
+#: Words in a row that a held stretch may lack, and words from which stretches of one place count together: the longest
+#: phrase that texts share by chance is shorter.
+LACK, PHRASE = 2, 10
+
+
+def stretch(p: np.ndarray, d: np.ndarray, words: np.ndarray, h: np.ndarray) -> int:
+    """Words of the stretches of an item that shingles at the places p, with the distances d, and the words around them
+    make up: of the longest, or of all that are longer than a phrase. A stretch never lacks more than LACK words in a
+    row; single words that it lacks count as held. Along it words may be left out, not added."""
+    size = len(words)
+    values, which, count = np.unique(d, return_inverse=True, return_counts=True)
+    order = np.lexsort((-count[which], p))  # of several distances at a place the most frequent
+    order = order[np.r_[True, p[order][1:] != p[order][:-1]]]
+    q, shift = p[order], d[order]
+    held = np.zeros(size, bool)
+    for k in range(SHINGLE):
+        held[q + k] = True
+    free = np.flatnonzero(~held)
+    if len(free):
+        k = np.searchsorted(q, free)
+        for one in (shift[np.maximum(k - 1, 0)], shift[np.minimum(k, len(q) - 1)]):
+            to = free + one
+            inside = (to >= 0) & (to < len(h))
+            held[free[inside]] |= h[to[inside]] == words[free[inside]]
+        held[1:-1] |= held[:-2] & held[2:]
+    at = np.flatnonzero(held)
+    step, gap = np.diff(shift), np.maximum(np.diff(q) - SHINGLE, 0)
+    part = np.r_[0, np.cumsum((step > 0) | (step < -gap))]  # words may be left out where some are missing, none added
+    part = part[np.maximum(np.searchsorted(q, at, "right") - 1, 0)]
+    cut = np.flatnonzero((np.diff(at) > LACK + 1) | (np.diff(part) > 0))
+    n = np.diff(np.r_[0, cut + 1, len(at)])
+    return int(max(n.max(), n[n >= PHRASE].sum()))
+
+
 def dense(items: Items, item: np.ndarray, left: np.ndarray, right: np.ndarray, hit: np.ndarray, sid: np.ndarray) -> np.ndarray:
     """The candidates that have enough shingles of their item in one place of the window to come into question, all at
     once. A passage is at most as long as a window, and windows overlap by half, so that some window has half of it."""
@@ -177,20 +252,31 @@ def dense(items: Items, item: np.ndarray, left: np.ndarray, right: np.ndarray, h
         own = item[which]
         has = np.flatnonzero(items.bits[sid[j], own >> 3] & (128 >> (own & 7)))
         which, j = which[has], j[has]
+        enough = np.bincount(which, minlength=len(item)) * SHINGLE >= SHARE / 2 * items.size[item]
+        which, j = which[enough[which]], j[enough[which]]
     key = sid[j] * len(items.ids) + item[which]
     first = np.searchsorted(items.postings[:-1], key)
-    lines, span = [], 4 * len(sid) + 4
+    longest = int(items.size.max())
+    lines, at, span = [], [], len(sid) + 2 * longest + 8  # so far apart that no line reaches into the next candidate's
     more = np.flatnonzero(items.postings[first] == key)
     while len(more):  # as often as an item repeats the shingle
         place = items.posting_place[first[more]]
-        lines.append((which[more] * span + (j[more] - place + len(sid))) * LONGEST + np.minimum(place, LONGEST - 1))
+        lines.append(which[more] * span + (j[more] - place + longest))
+        at.append(place)
         first[more] += 1
         more = more[items.postings[first[more]] == key[more]]
     if not lines:
         return np.empty(0, np.int64)
-    line = np.sort(np.concatenate(lines))
-    gain = np.minimum(np.diff(line, prepend=line[0] - EXACT), EXACT)  # words that a shingle adds to those before it
-    line //= LONGEST
+    line, place = np.concatenate(lines), np.concatenate(at)
+    bits = longest.bit_length()
+    if int(line.max()) < 1 << (62 - bits):  # one sort of one number is faster than one of two
+        line = np.sort((line << bits) | place)
+        line, place = line >> bits, line & ((1 << bits) - 1)
+    else:
+        order = np.lexsort((place, line))
+        line, place = line[order], place[order]
+    gain = np.full(len(line), SHINGLE)  # words that a shingle adds to those before it
+    gain[1:] = np.where(line[1:] == line[:-1], np.minimum(np.diff(place), SHINGLE), SHINGLE)
     which = line // span
     size = items.size[item]
     words = np.r_[0, np.cumsum(gain)]
@@ -198,48 +284,55 @@ def dense(items: Items, item: np.ndarray, left: np.ndarray, right: np.ndarray, h
     return np.unique(which[covered >= SHARE / 2 * size[which]])
 
 
-def search(texts: pa.Array, items: Items) -> list[tuple[int, int]]:
+def search(texts: pa.Array, items: Items, exact: bool = False) -> list[tuple[int, int]]:
     """Row of the text and index of the item of every finding."""
     flat, bounds = K.points(texts)
     h, at, _ = K.words(flat)
     if not len(h):
         return []
     own = K.owner(at, bounds)
-    s5, s3 = K.shingles(h, own, SHINGLE), K.shingles(h, own, EXACT)
-    maybe = np.flatnonzero(items.seen[(s3 & LOW).astype(np.int64)])
-    place = np.minimum(np.searchsorted(items.vocabulary, s3[maybe]), len(items.vocabulary) - 1)
+    found: set[tuple[int, int]] = set()
+    for n, (value, tiny) in items.short.items():
+        s = K.shingles(h, own, n)
+        left, right = np.searchsorted(value, s, "left"), np.searchsorted(value, s, "right")
+        for j in np.flatnonzero((right > left) & (s != 0)).tolist():
+            found.update((int(own[j]), int(i)) for i in tiny[left[j] : right[j]])
+    s3 = K.shingles(h, own, SHINGLE)
     sid = np.full(len(s3), -1)
-    right_ = (items.vocabulary[place] == s3[maybe]) & (s3[maybe] != 0)
-    sid[maybe[right_]] = place[right_]
-    begins = np.searchsorted(own, np.arange(len(bounds)), "left")
-    begin, end, item = candidates(s5, own, items)
-    if not len(begin):
-        return []
+    if len(items.vocabulary):
+        maybe = np.flatnonzero(items.seen[(s3 & LOW).astype(np.int64)])
+        place = np.minimum(np.searchsorted(items.vocabulary, s3[maybe]), len(items.vocabulary) - 1)
+        right_ = (items.vocabulary[place] == s3[maybe]) & (s3[maybe] != 0)
+        sid[maybe[right_]] = place[right_]
     hit = np.flatnonzero(sid >= 0)
+    if not len(hit):
+        return sorted(found)
+    begins = np.searchsorted(own, np.arange(len(bounds)), "left")
+    begin, end, item = sharing(sid, own, items) if exact else candidates(s3, own, items)
     left, right = np.searchsorted(hit, begin), np.searchsorted(hit, end)
     total = np.cumsum(right - left)
-    likely, at = [], 0
-    while at < len(begin):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + ROWS, "right")))
-        likely.append(at + dense(items, item[at:to], left[at:to], right[at:to], hit, sid))
-        at = to
-    found: set[tuple[int, int]] = set()
+    likely, done = [np.empty(0, np.int64)], 0
+    while done < len(begin):
+        to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + ROWS, "right")))
+        likely.append(done + dense(items, item[done:to], left[done:to], right[done:to], hit, sid))
+        done = to
     for k in np.concatenate(likely).tolist():
         i, doc = int(item[k]), int(own[begin[k]])
         if (doc, i) in found:
             continue
         size = int(items.size[i])
         a, b = np.searchsorted(hit, (max(begin[k] - size, begins[doc]), min(end[k] + size, begins[doc + 1])))
-        if coverage(items.exact[i], size, hit[a:b], sid) >= SHARE:
+        if coverage(items.exact[i], items.words[i], hit[a:b], sid, h) >= SHARE:
             found.add((doc, i))
     return sorted(found)
 
 
-def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", exact: bool = False) -> DataFrame:
     """One row (doc_id, item_id) per document that holds at least SHARE of an item's passage, the last line of its text.
 
     The items are a stated query set held against all documents in blocks of BLOCK items; a block is what a worker
-    holds, so its size does not grow with the data."""
+    holds, so its size does not grow with the data. exact: every window that has a shingle of an item is a candidate,
+    so nothing is left to the chance of the MinHash values."""
     spark = docs.sparkSession
     rows = items.select(F.col(item_id).alias("i"), F.element_at(F.split(F.rtrim(F.regexp_replace(text, r"\s+$", "")), "\n"), -1).alias("t")).where("t is not null and i is not null").orderBy("i", "t")
     out = None
@@ -253,7 +346,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
                 for a, b in K.slices(texts):
-                    got = search(texts.slice(a, b - a), known) if len(known.vocabulary) else []
+                    got = search(texts.slice(a, b - a), known, exact)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + d for d, _ in got], pa.int64())), pa.array([known.ids[i].item() for _, i in got], item_type)], names=[doc_id, item_id])
 
         return docs.select(doc_id, text).where(F.col(text).isNotNull()).mapInArrow(run, f"`{doc_id}` {doc_sort}, `{item_id}` {item_sort}")
