@@ -29,12 +29,13 @@ from . import codes as K
 SHINGLE = 3  # words of a shingle
 PERMUTATIONS = 64
 SHARE = 0.4  # least share of the passage
+LEAST = 0.6 * SHARE  # the same of words in shingles that are left where single words are changed
 #: Items held by a worker at once; more items are searched in blocks of this size, one pass over the documents each.
 BLOCK = 20_000
-#: Bytes of a table that speeds the verification up; without it the sorted list is searched for every row.
-TABLE = 64_000_000
 LOW = np.uint64((1 << 22) - 1)
-#: Rows of the verification handled at once.
+#: Cells of a table (block, item) up to which one is used; beyond it sorted lists do the same.
+TABLE = 50_000_000
+#: Places of the verification handled at once.
 ROWS = 2_000_000
 
 
@@ -67,18 +68,14 @@ class Items:
             known = np.searchsorted(self.vocabulary, mine[places])
             order = np.argsort(known, kind="stable")
             self.exact.append((known[order], places[order]))
-        #: which low bits of hashes occur at all, and, where it fits, a bit table of (shingle, item)
+        #: which low bits of hashes occur at all
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.vocabulary & LOW).astype(np.int64)] = True
-        self.bits = None
-        if len(self.vocabulary) * (len(ids) // 8 + 1) <= TABLE:
-            self.bits = np.zeros((len(self.vocabulary), len(ids) // 8 + 1), np.uint8)
-            for i, (known, _) in enumerate(self.exact):
-                self.bits[np.unique(known), i >> 3] |= 128 >> (i & 7)
         #: the same as one sorted list of (shingle, item)
         keys = np.concatenate([known * len(ids) + i for i, (known, _) in enumerate(self.exact)] or [np.empty(0, np.int64)])
         order = np.argsort(keys, kind="stable")
         self.postings = np.r_[keys[order], -1]  # the last ends every search
+        self.many = np.bincount(keys // max(1, len(ids)), minlength=len(self.vocabulary))  # postings of a shingle
         self.posting_place = np.concatenate([p for _, p in self.exact] or [np.empty(0, np.int64)])[order]
         self.grade = np.array([max(5, int(np.ceil(np.log2(max(1, n))))) for n in self.size])
         self.minima: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -125,12 +122,16 @@ def windows(texts: np.ndarray, g: int) -> np.ndarray:
     return np.flatnonzero(within % (1 << (g - 1)) == 0)
 
 
-def candidates(s: np.ndarray, texts: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end (in words) of document windows and an item that shares a MinHash value with them."""
+Candidates = dict[int, tuple[np.ndarray, np.ndarray]]  # by grade: begins of blocks; block x number of items + item
+
+
+def candidates(s: np.ndarray, texts: np.ndarray, items: Items) -> Candidates:
+    """Windows of documents and items that share a MinHash value with them."""
     count = len(items.ids)
     empty = s == 0
-    hits: dict[int, list[np.ndarray]] = {g: [] for g in items.minima}
+    hits: dict[int, list[np.ndarray]] = {g: [np.empty(0, np.int64)] for g in items.minima}
     cut = {g: windows(texts, g) for g in items.minima}
+    tables = {g: np.zeros(len(starts) * count, bool) for g, starts in cut.items() if len(starts) * count <= TABLE}
     for p in range(PERMUTATIONS):
         v = permuted(s, p)
         v[empty] = NONE
@@ -143,40 +144,75 @@ def candidates(s: np.ndarray, texts: np.ndarray, items: Items) -> tuple[np.ndarr
             left, right = np.searchsorted(low, pair, "left"), np.searchsorted(low, pair, "right")
             w = np.flatnonzero(right > left)
             while len(w):  # as often as items share the value
-                hits[g].append(w * count + members[left[w]])
+                if g in tables:
+                    tables[g][w * count + members[left[w]]] = True
+                else:
+                    hits[g].append(w * count + members[left[w]])
                 left[w] += 1
                 w = w[right[w] > left[w]]
-    return spans({g: (cut[g], found) for g, found in hits.items()}, len(s), count)
-
-
-def sharing(sid: np.ndarray, texts: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for all windows that have any shingle of an item: the exact search."""
-    count, at = len(items.ids), np.flatnonzero(sid >= 0)
-    left, right = np.searchsorted(items.postings[:-1], sid[at] * count), np.searchsorted(items.postings[:-1], (sid[at] + 1) * count)
-    word = np.repeat(at, right - left)
-    item = items.postings[np.arange(len(word)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + np.repeat(left, right - left)] % count
-    found = {}
-    for g in items.minima:
-        starts = windows(texts, g)
-        mine = items.grade[item] == g
-        w = np.searchsorted(starts, word[mine], "right") - 1
-        back = np.maximum(w - 1, 0)
-        before = (w > 0) & (texts[starts[back]] == texts[starts[w]])
-        found[g] = starts, [w * count + item[mine], back[before] * count + item[mine][before]]
-    return spans(found, len(sid), count)
-
-
-def spans(found: dict[int, tuple[np.ndarray, list[np.ndarray]]], n: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end and item of (block, item) keys by grade, each once."""
-    begin, end, item = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for starts, keys in found.values():
-        if keys:
-            k = np.unique(np.concatenate(keys))
+    return {g: (cut[g], np.flatnonzero(tables[g]) if g in tables else np.unique(np.concatenate(found))) for g, found in hits.items()}
+
+
+def dense(sid: np.ndarray, texts: np.ndarray, items: Items, near: Candidates | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Begin, end and item of the candidates (None: of all windows) that have enough shingles of their item in one place
+    to come into question. A passage is at most as long as a window, and windows overlap by half, so that two fifths of
+    it stand in one window. The items are taken in ranges of about ROWS places where a text and an item share a shingle."""
+    count, n = len(items.ids), len(sid)
+    hit = np.flatnonzero(sid >= 0)
+    total = int(items.many[sid[hit]].sum())
+    edges = np.unique(np.linspace(0, count, total // ROWS + 2).astype(int))
+    longest = int(items.size.max())
+    bits, span = longest.bit_length(), n + 2 * longest + 8  # so far apart that no line reaches into the next candidate's
+    out = []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        shingle = np.arange(len(items.vocabulary)) * count
+        left = np.searchsorted(items.postings[:-1], shingle + lo)
+        many = (np.searchsorted(items.postings[:-1], shingle + hi) - left)[sid[hit]]
+        left = left[sid[hit]]
+        word = np.repeat(hit, many)
+        k = np.arange(len(word)) + np.repeat(left - np.cumsum(many) + many, many)
+        item, place = items.postings[k] % count, items.posting_place[k]
+        for g in items.minima:
+            starts = near[g][0] if near is not None else windows(texts, g)
+            block_of = np.zeros(n, np.int64)
+            block_of[starts[1:]] = 1
+            block_of = np.cumsum(block_of)
+            mine = np.flatnonzero(items.grade[item] == g)
+            block = block_of[word[mine]]
+            back = np.flatnonzero((block > 0) & (texts[starts[np.maximum(block - 1, 0)]] == texts[starts[block]]))
+            key = np.r_[block, block[back] - 1] * count + np.r_[item[mine], item[mine[back]]]
+            mine = np.r_[mine, mine[back]]
+            keys = near[g][1] if near is not None else np.unique(key)
+            if not len(keys) or not len(key):
+                continue
+            if len(starts) * count <= TABLE:
+                number = np.full(len(starts) * count, -1, np.int32)
+                number[keys] = np.arange(len(keys))
+                which = number[key].astype(np.int64)
+                have = np.flatnonzero(which >= 0)
+            else:
+                which = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                have = np.flatnonzero(keys[which] == key)
+            have = have[(np.bincount(which[have], minlength=len(keys)) * SHINGLE >= LEAST * items.size[keys % count])[which[have]]]
+            if not len(have):
+                continue
+            line, at = which[have] * span + word[mine[have]] - place[mine[have]] + longest, place[mine[have]]
+            if int(line.max()) < 1 << (62 - bits):  # one sort of one number is faster than one of two
+                line = np.sort((line << bits) | at)
+                line, at = line >> bits, line & ((1 << bits) - 1)
+            else:
+                order = np.lexsort((at, line))
+                line, at = line[order], at[order]
+            gain = np.full(len(line), SHINGLE)  # words that a shingle adds to those before it
+            gain[1:] = np.where(line[1:] == line[:-1], np.minimum(np.diff(at), SHINGLE), SHINGLE)
+            which = line // span
+            size = items.size[keys % count]
+            words = np.r_[0, np.cumsum(gain)]
+            covered = words[np.searchsorted(line, line + np.maximum(4, size // 10)[which], "right")] - words[:-1]
+            found = keys[np.unique(which[covered >= LEAST * size[which]])]
             stops = np.r_[starts, n, n]
-            begin.append(stops[k // count])
-            end.append(stops[k // count + 2])
-            item.append(k % count)
-    return np.concatenate(begin), np.concatenate(end), np.concatenate(item)
+            out.append((stops[found // count], stops[found // count + 2], found % count))
+    return out
 
 
 def coverage(item: tuple[np.ndarray, np.ndarray], words: np.ndarray, hit: np.ndarray, sid: np.ndarray, h: np.ndarray) -> float:
@@ -198,7 +234,7 @@ def coverage(item: tuple[np.ndarray, np.ndarray], words: np.ndarray, hit: np.nda
     d, p = d[order], p[order]
     last = np.searchsorted(d, d + max(4, size // 10), "right")
     n = last - np.arange(len(d))
-    rich = np.flatnonzero(n * SHINGLE >= SHARE / 2 * size)
+    rich = np.flatnonzero(n * SHINGLE >= LEAST * size)
     rich = rich[np.r_[True, last[rich[1:]] > last[rich[:-1]]]] if len(rich) else rich
     best = 0
     for i in rich[np.argsort(-n[rich], kind="stable")].tolist():
@@ -242,48 +278,6 @@ def stretch(p: np.ndarray, d: np.ndarray, words: np.ndarray, h: np.ndarray) -> i
     return int(max(n.max(), n[n >= PHRASE].sum()))
 
 
-def dense(items: Items, item: np.ndarray, left: np.ndarray, right: np.ndarray, hit: np.ndarray, sid: np.ndarray) -> np.ndarray:
-    """The candidates that have enough shingles of their item in one place of the window to come into question, all at
-    once. A passage is at most as long as a window, and windows overlap by half, so that some window has half of it."""
-    n = right - left
-    which = np.repeat(np.arange(len(item)), n)
-    j = hit[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)]
-    if items.bits is not None:
-        own = item[which]
-        has = np.flatnonzero(items.bits[sid[j], own >> 3] & (128 >> (own & 7)))
-        which, j = which[has], j[has]
-        enough = np.bincount(which, minlength=len(item)) * SHINGLE >= SHARE / 2 * items.size[item]
-        which, j = which[enough[which]], j[enough[which]]
-    key = sid[j] * len(items.ids) + item[which]
-    first = np.searchsorted(items.postings[:-1], key)
-    longest = int(items.size.max())
-    lines, at, span = [], [], len(sid) + 2 * longest + 8  # so far apart that no line reaches into the next candidate's
-    more = np.flatnonzero(items.postings[first] == key)
-    while len(more):  # as often as an item repeats the shingle
-        place = items.posting_place[first[more]]
-        lines.append(which[more] * span + (j[more] - place + longest))
-        at.append(place)
-        first[more] += 1
-        more = more[items.postings[first[more]] == key[more]]
-    if not lines:
-        return np.empty(0, np.int64)
-    line, place = np.concatenate(lines), np.concatenate(at)
-    bits = longest.bit_length()
-    if int(line.max()) < 1 << (62 - bits):  # one sort of one number is faster than one of two
-        line = np.sort((line << bits) | place)
-        line, place = line >> bits, line & ((1 << bits) - 1)
-    else:
-        order = np.lexsort((place, line))
-        line, place = line[order], place[order]
-    gain = np.full(len(line), SHINGLE)  # words that a shingle adds to those before it
-    gain[1:] = np.where(line[1:] == line[:-1], np.minimum(np.diff(place), SHINGLE), SHINGLE)
-    which = line // span
-    size = items.size[item]
-    words = np.r_[0, np.cumsum(gain)]
-    covered = words[np.searchsorted(line, line + np.maximum(4, size // 10)[which], "right")] - words[:-1]
-    return np.unique(which[covered >= SHARE / 2 * size[which]])
-
-
 def search(texts: pa.Array, items: Items, exact: bool = False) -> list[tuple[int, int]]:
     """Row of the text and index of the item of every finding."""
     flat, bounds = K.points(texts)
@@ -308,22 +302,15 @@ def search(texts: pa.Array, items: Items, exact: bool = False) -> list[tuple[int
     if not len(hit):
         return sorted(found)
     begins = np.searchsorted(own, np.arange(len(bounds)), "left")
-    begin, end, item = sharing(sid, own, items) if exact else candidates(s3, own, items)
-    left, right = np.searchsorted(hit, begin), np.searchsorted(hit, end)
-    total = np.cumsum(right - left)
-    likely, done = [np.empty(0, np.int64)], 0
-    while done < len(begin):
-        to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + ROWS, "right")))
-        likely.append(done + dense(items, item[done:to], left[done:to], right[done:to], hit, sid))
-        done = to
-    for k in np.concatenate(likely).tolist():
-        i, doc = int(item[k]), int(own[begin[k]])
-        if (doc, i) in found:
-            continue
-        size = int(items.size[i])
-        a, b = np.searchsorted(hit, (max(begin[k] - size, begins[doc]), min(end[k] + size, begins[doc + 1])))
-        if coverage(items.exact[i], items.words[i], hit[a:b], sid, h) >= SHARE:
-            found.add((doc, i))
+    for begin, end, item in dense(sid, own, items, None if exact else candidates(s3, own, items)):
+        for a, b, i in zip(begin.tolist(), end.tolist(), item.tolist()):
+            doc = int(own[a])
+            if (doc, i) in found:
+                continue
+            size = int(items.size[i])
+            low, high = np.searchsorted(hit, (max(a - size, begins[doc]), min(b + size, begins[doc + 1])))
+            if coverage(items.exact[i], items.words[i], hit[low:high], sid, h) >= SHARE:
+                found.add((doc, i))
     return sorted(found)
 
 
