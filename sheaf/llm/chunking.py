@@ -4,8 +4,11 @@ Method: content-defined chunking. Landmarks are places where a rolling hash of t
 piece ends at the natural boundary nearest to the first landmark beyond the least size, so that an edit moves only the
 cuts near it. Natural boundaries are the ends of the sentence units of a text, and pauses of a transcription.
 
-A piece never exceeds the maximal size, its overlap with the piece before included. Where the full overlap would force
-a cut inside a unit, the overlap shrinks; only a unit that alone exceeds the maximal size is cut inside ('hard').
+A piece never exceeds the maximal size, its overlap with the piece before included. Each piece begins the given overlap
+before the end of the piece before. Only where the full overlap would force a cut inside a unit that fits alone, it
+shrinks, to nothing at least, and at most to white space between the units that no piece has; only a unit that alone
+exceeds the maximal size is cut inside ('hard'), at the last landmark that fits, so that these cuts too move with the
+content.
 
 Defined results: null and small items give no piece; texts without any boundary are cut hard; a null bound of an entry
 is no pause; repeated rows give repeated pieces.
@@ -25,6 +28,7 @@ from . import sentences
 
 WINDOW = 16  # elements that the rolling hash sees
 LEAST = 1 / 3  # least size of new content, as a share of the maximal size
+KINDS = 1000  # kinds of items that a limit table may have
 
 
 @dataclass(frozen=True)
@@ -36,7 +40,10 @@ class Limit:
 
 def limits(table: DataFrame) -> dict[str, Limit]:
     """The rows of the size_limit table; one row per kind of item, so a handful."""
-    return {r["item"]: Limit(r["max_size"], r["overlap"], r["min_pause"]) for r in table.limit(1000).collect()}
+    rows = table.limit(KINDS + 1).collect()
+    if len(rows) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of items")
+    return {r["item"]: Limit(r["max_size"], r["overlap"], r["min_pause"]) for r in rows}
 
 
 def landmarks(content: np.ndarray, bits: int) -> np.ndarray:
@@ -54,37 +61,35 @@ def landmarks(content: np.ndarray, bits: int) -> np.ndarray:
 def pieces(spans: list[tuple[int, int]], marks: np.ndarray, limit: Limit) -> list[tuple[int, int, bool]]:
     """Begin, end and whether the end is inside a unit, of the pieces of an item with the given natural units."""
     ends = np.array([e for _, e in spans])
-    begins = np.array([b for b, _ in spans])
     least = max(1, int(limit.max_size * LEAST))
+    first, last = int(spans[0][0]), int(ends[-1])
     out: list[tuple[int, int, bool]] = []
-    new, last = int(begins[0]), int(ends[-1])
+    done = first  # where the piece before ended
     while True:
-        start = max(new - limit.overlap, out[-1][0] + 1) if out else new
+        start = max(done - limit.overlap, out[-1][0] + 1) if out else first
         room = start + limit.max_size
         if last <= room:
             out.append((start, last, False))
             return out
-        near = ends[np.searchsorted(ends, new, "right") : np.searchsorted(ends, room, "right")]
+        near = ends[np.searchsorted(ends, done, "right") : np.searchsorted(ends, room, "right")]
+        fit = marks[np.searchsorted(marks, done + least) : np.searchsorted(marks, room, "right")]
         hard = False
         if len(near):
-            wanted = near[near >= new + least]
+            wanted = near[near >= done + least]
             some = wanted if len(wanted) else near[-1:]
-            k = np.searchsorted(marks, new + least)
-            aim = int(marks[k]) if k < len(marks) and marks[k] <= room else room
+            aim = int(fit[0]) if len(fit) else room
             cut = int(some[np.abs(some - aim).argmin()])
         else:
-            cut = int(ends[np.searchsorted(ends, new, "right")])
-            if cut - new <= limit.max_size:
-                start = cut - limit.max_size
+            k = int(np.searchsorted(ends, done, "right"))
+            cut = int(ends[k])
+            if cut - spans[k][0] <= limit.max_size:
+                start = max(start, cut - limit.max_size)
             else:
-                cut, hard = room, True
+                cut, hard = int(fit[-1]) if len(fit) else room, True
         out.append((start, cut, hard))
         if cut >= last:
             return out
-        if hard:
-            new = cut
-        else:
-            new = int(begins[np.searchsorted(begins, cut)])
+        done = cut
 
 
 def text_pieces(df: DataFrame, limit: Limit, key: str = "source_id", text: str = "text", ev: sentences.Evidence | None = None) -> DataFrame:

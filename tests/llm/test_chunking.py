@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -12,8 +13,13 @@ LIMIT = C.Limit(300, 20, None)
 def valid(found, spans, limit):
     assert found[0][0] == spans[0][0] and found[-1][1] == spans[-1][1]
     ends = {e for _, e in spans}
-    for (a, b, h), (c, d, _) in zip(found, found[1:]):
-        assert a < c < d and c <= b or all(not (x < c and b < y) for x, y in spans)
+    begins = dict(map(reversed, spans))
+    for (a, b, _), (c, d, hard) in zip(found, found[1:]):
+        assert a < c < d
+        # the exact overlap, unless the unit at the end of the next piece needs the room, or the piece before is short
+        if b - c != limit.overlap:
+            assert c == a + 1 or not hard and d - c == limit.max_size and d in ends and all(e <= b or e >= d for e in ends)
+            assert b - c >= 0 or c <= begins.get(d, 0)
     for a, b, h in found:
         assert 0 < b - a <= limit.max_size and (h or b in ends)
 
@@ -55,3 +61,21 @@ def test_tables(spark):
     e = C.cuts(C.entry_pieces(df, C.Limit(20, 2, 0.35)), "transcription")
     assert sorted(tuple(r) for r in t.unionByName(e).collect()) == [(1, "text", "soft"), (1, "transcription", "hard"), (2, "text", "hard"), (2, "transcription", "soft")]
     assert C.text_pieces(df.limit(0), LIMIT).count() == 0
+
+
+def test_overlap_is_exact():
+    # units of 50 signs with blank lines between them
+    spans = [(i * 52, i * 52 + 50) for i in range(60)]
+    found = C.pieces(spans, np.arange(0, 3000, 41), C.Limit(300, 20, None))
+    assert len(found) > 5 and all(b - c == 20 for (_, b, _), (c, _, _) in zip(found, found[1:]))
+    found = C.pieces([(0, 5000)], np.arange(0, 5000, 41), C.Limit(300, 20, None))  # one unit, cut inside
+    assert all(b - c == 20 and b - a <= 300 for (a, b, _), (c, _, _) in zip(found, found[1:])) and {b % 41 for _, b, _ in found[:-1]} == {0}
+    found = C.pieces([(0, 200), (202, 502), (504, 600)], np.arange(0, 600, 41), C.Limit(300, 20, None))  # no room for the overlap
+    assert found == [(0, 200, False), (202, 502, False), (482, 600, False)]
+
+
+def test_limits(spark):
+    kind = "item string, unit string, max_size long, overlap int, min_pause double"
+    assert C.limits(spark.createDataFrame([("a", "u", 3, 1, None)], kind)) == {"a": C.Limit(3, 1, None)}
+    with pytest.raises(ValueError):
+        C.limits(spark.range(C.KINDS + 1).selectExpr("string(id) item", "'u' unit", "3L max_size", "1 overlap", "double(null) min_pause"))
