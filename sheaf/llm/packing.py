@@ -1,13 +1,14 @@
 """Filling containers of fixed capacity with texts (problem 7).
 
 Method: first-fit decreasing with a tournament tree over the free room of the containers, run independently in
-randomised groups of about GROUP items. Only keys and sizes are shuffled, never texts. An item larger than a container
+randomised groups of about GROUP items. The group is a hash of key, piece and, for repeated rows, the number of the
+repetition, so the containers are the same however the files are laid out and however often a task runs. Only keys and sizes are shuffled, never texts. An item larger than a container
 is cut into full containers and a rest; nothing else is cut.
 
 Sizes are tokens of the public byte-level tokenizer: one per UTF-8 byte and one end token.
 
 Defined results: null and empty texts have no tokens and are in no container; a blank text is a text; repeated rows are
-separate items; an empty table gives no container.
+separate items; a null key is a key; an empty table gives no container.
 """
 
 from __future__ import annotations
@@ -57,10 +58,13 @@ def containers(df: DataFrame, capacity: int, key: str = "doc_id", text: str = "t
     begin = F.col("piece").cast("long") * capacity
     items = cut.select(key, "piece", "pieces", begin.alias("begin_token"), F.least(F.lit(capacity).cast("long"), F.col("size") - begin).alias("tokens"))
     groups = max(1, round(df.count() / group))
-    salted = items.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    alike = items.groupBy(*items.columns).agg(F.count(F.lit(1)).alias("_n"))  # repeated rows; spread again by their number
+    each = alike.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
+    salted = each.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), key, "piece", "_copy"), F.lit(groups)).cast("int"))
     sort = df.schema[key].dataType.simpleString()
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([key, "piece"], kind="stable", na_position="first")
         pdf["number"] = first_fit_decreasing(pdf["tokens"].to_numpy(), capacity)
         return pdf[["group", "number", key, "piece", "pieces", "begin_token", "tokens"]]
 

@@ -2,6 +2,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from sheaf.llm import packing as P
 
 
@@ -40,3 +42,10 @@ def test_containers(spark):
     assert {r.doc_id for r in got if r.pieces > 1} == {1000}
     assert sorted(r.doc_id for r in P.oversized(P.containers(df, 200, group=100)).collect()) == [1000, 1000]
     assert P.containers(df.limit(0), 200).count() == 0
+
+
+def test_same_containers_in_any_layout(spark):
+    rows = [(i % 200, "a" * (i % 200 % 37)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a = sorted(map(tuple, P.containers(df.repartition(7), 100, group=100).collect()))
+    assert a == sorted(map(tuple, P.containers(df.orderBy(F.desc("doc_id")).coalesce(1), 100, group=100).collect()))
