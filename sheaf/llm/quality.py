@@ -5,7 +5,9 @@ line prose, list, table or junk; the shares of the labels, weighted by character
 model is trained here: lines that plain rules decide give the first tables, Viterbi training on a bounded sample of
 TRAIN_DOCS documents the final ones.  All kernels work on whole batches of texts.
 
-Words are runs of letters, digits and marks; every Han or kana character is a word.  Symbols are characters other than
+Words are runs of letters, digits and marks; every Han or kana character is a word. Common words are those of the
+language that the document names; a document that names none, or one without a list, has the words of all languages. A
+common word of several Han or kana characters counts as all of them.  Symbols are characters other than
 letters, marks, digits, white space and common punctuation.
 
 Defined results: null, empty and blank texts have word_count 0, null ratios and kind null; repeated rows give repeated
@@ -44,10 +46,49 @@ def buckets(x: np.ndarray, edges: tuple[float, ...]) -> np.ndarray:
     return np.searchsorted(np.array(edges), x, "right")
 
 
+class Common:
+    """Lists of common words by language, as sorted hashes; language 0 has the words of all."""
+
+    def __init__(self, rows: list[tuple[str | None, str]]) -> None:
+        names = sorted({lang for lang, word in rows if lang and word})
+        self.number = {lang: i + 1 for i, lang in enumerate(names)}
+        tall = sorted({(k, word) for lang, word in rows if word for k in {0, self.number.get(lang, 0)}})
+        flat, bounds = K.points(pa.array([w for _, w in tall], pa.string()))
+        h, at, _ = K.words(flat)
+        own = K.owner(at, bounds)
+        size = np.bincount(own, minlength=len(tall)) if len(tall) else np.empty(0, np.int64)
+        lang = np.array([k for k, _ in tall], np.uint64)
+        #: words of one word, and of so many Han or kana characters, marked by their language
+        self.lists: dict[int, np.ndarray] = {}
+        for n in np.unique(size[size > 0]).tolist():
+            value = K.shingles(h, own, n)
+            first = np.searchsorted(own, np.flatnonzero(size == n))
+            self.lists[n] = np.unique(self.marked(value[first], lang[size == n]))
+
+    @staticmethod
+    def marked(h: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return h ^ (lang * K.P2)
+
+    def marks(self, h: np.ndarray, at: np.ndarray, text: np.ndarray, cjk: np.ndarray, langs: pa.Array) -> np.ndarray:
+        """Which words are common: h hashes, at places, text and cjk of the words; langs: languages of the texts."""
+        out = np.zeros(len(h), bool)
+        number = np.array([self.number.get((x or "").lower(), 0) for x in langs.to_pylist()], np.uint64)
+        for n, known in self.lists.items():
+            value = self.marked(K.shingles(h, text, n), number[text])
+            hit = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
+            if n > 1:  # characters side by side
+                hit[len(h) - n + 1 :] = False
+                hit[: max(0, len(h) - n + 1)] &= (at[n - 1 :] - at[: max(0, len(h) - n + 1)] == n - 1) & cjk[: max(0, len(h) - n + 1)]
+            for k in range(n):
+                out[k:] |= hit[: len(h) - k]
+        return out
+
+
 class Lines:
     """Statistics of the lines that are not blank, of all texts of a slice."""
 
-    def __init__(self, texts: pa.Array, common: np.ndarray) -> None:
+    def __init__(self, texts: pa.Array, langs: pa.Array, common: Common) -> None:
         flat, bounds = K.points(texts)
         kind = K.classes(flat)
         n = len(flat)
@@ -71,8 +112,7 @@ class Lines:
         word_line = line_of[self.at]
         words = np.bincount(word_line, minlength=total)
         han = count(cjk)
-        place = np.minimum(np.searchsorted(common, self.hash), max(0, len(common) - 1))
-        self.common = common[place] == self.hash if len(common) else np.zeros(len(self.hash), bool)
+        self.common = common.marks(self.hash, self.at, K.owner(self.at, bounds), cjk[self.at], langs)
         known = np.bincount(word_line, self.common, minlength=total)
         some_words = np.maximum(words, 1)
 
@@ -268,11 +308,11 @@ def fitted(f: np.ndarray, text: np.ndarray, labels: np.ndarray) -> Model:
     return Model(emit, np.log(np.array([0.7, 0.1, 0.1, 0.04, 0.03, 0.03])), np.log(step / step.sum(1, keepdims=True)))
 
 
-def train(texts: pa.Array, common: np.ndarray) -> Model:
+def train(texts: pa.Array, langs: pa.Array, common: Common) -> Model:
     """Viterbi training from the rule-labelled lines."""
     f, text, base = [], [], 0
     for a, b in K.slices(texts):
-        x = Lines(texts.slice(a, b - a), common)
+        x = Lines(texts.slice(a, b - a), langs.slice(a, b - a), common)
         f.append(x.features)
         text.append(x.text + base)
         base += b - a
@@ -285,29 +325,23 @@ def train(texts: pa.Array, common: np.ndarray) -> Model:
     return model
 
 
-def common_hashes(words: list[str]) -> np.ndarray:
-    """Hashes of the common words; of words of several Han or kana characters, nothing (each character is a word)."""
-    keep = [w for w in words if w]
-    if not keep:
-        return np.empty(0, np.uint64)
-    flat, bounds = K.points(pa.array(keep, pa.string()))
-    h, at, _ = K.words(flat)
-    own = K.owner(at, bounds)
-    alone = np.bincount(own, minlength=len(keep)) == 1
-    return np.unique(h[alone[own]])
-
+def statistics(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """One row per document: statistics, label shares and kind. common_words: a table of (lang, word); that it is small is
+    checked (MOST_COMMON rows), its hashes are broadcast. Where documents or words have no column lang, all words count.
 
-def statistics(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: statistics, label shares and kind. common_words: a table of word per row; that it is small
-    is checked (MOST_COMMON rows), its hashes are broadcast."""
+    The model is trained on at most 2 x TRAIN_DOCS documents of at most TRAIN_BYTES bytes, chosen by a hash of the key."""
     spark = df.sparkSession
-    words = [r[0] for r in common_words.select("word").distinct().limit(MOST_COMMON + 1).collect()]
+    named = lambda d: F.lower(lang) if lang in d.columns else F.lit(None).cast("string")
+    words = [tuple(r) for r in common_words.select(named(common_words), "word").distinct().limit(MOST_COMMON + 1).collect()]
     if len(words) > MOST_COMMON:
         raise ValueError(f"more than {MOST_COMMON} common words")
-    common = common_hashes(words)
+    common = Common(words)
     n = df.count()
-    sample = df.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(max(1, n // TRAIN_DOCS))) == 0)).select(text).limit(2 * TRAIN_DOCS).toArrow()
-    model = train(pa.concat_arrays(sample.column(0).cast(pa.string()).chunks) if sample.num_rows else pa.array([], pa.string()), common)
+    some = F.col(text).isNotNull() & (F.octet_length(text) <= TRAIN_BYTES) & (F.pmod(F.xxhash64(key), F.lit(max(1, n // TRAIN_DOCS))) == 0)
+    sample = df.where(some).select(F.col(key).alias("_k"), F.col(text).alias("_t"), named(df).alias("_l")).limit(2 * TRAIN_DOCS).sort("_k", "_t").toArrow()
+    column = lambda c: sample.column(c).cast(pa.string()).combine_chunks()
+    whole = [pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in (column("_t"), column("_l"))]
+    model = train(*whole, common)
     shared = spark.sparkContext.broadcast((common, model.emit, model.first, model.step))
     sort = df.schema[key].dataType.simpleString()
 
@@ -315,20 +349,21 @@ def statistics(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text
         known, *tables = shared.value
         hmm = Model(*tables)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.string())
+            ids, texts, langs = batch.column(0), batch.column(1).cast(pa.string()), batch.column(2).cast(pa.string())
             for a, b in K.slices(texts):
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *measured(texts.slice(a, b - a), known, hmm)], names=[key, *COLUMNS])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *measured(texts.slice(a, b - a), langs.slice(a, b - a), known, hmm)], names=[key, *COLUMNS])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {sort}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
+    return df.select(key, text, named(df)).mapInArrow(run, f"`{key}` {sort}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
 
 
 MOST_COMMON = 100_000
+TRAIN_BYTES = 50_000
 COLUMNS = {"word_count": "long", "mean_word_length": "double", "symbol_ratio": "double", "closed_line_share": "double", "common_word_share": "double", **{f"{k}_share": "double" for k in KINDS}, "kind": "string"}
 
 
-def measured(texts: pa.Array, common: np.ndarray, model: Model) -> list[pa.Array]:
+def measured(texts: pa.Array, langs: pa.Array, common: Common, model: Model) -> list[pa.Array]:
     """The columns COLUMNS of the texts."""
-    x = Lines(texts, common)
+    x = Lines(texts, langs, common)
     labels = model.label(x.features, x.text)
     m = len(texts)
     weight = np.zeros((m, 4))

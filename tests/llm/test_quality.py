@@ -32,6 +32,17 @@ def test_kinds_and_statistics(spark):
 def test_numbers_of_one_text():
     import pyarrow as pa
 
-    x = Q.Lines(pa.array(["Der Hund, 3 Katzen!\n中文 $$"]), Q.common_hashes(["der"]))
+    x = Q.Lines(pa.array(["Der Hund, 3 Katzen!\n中文 $$"]), pa.array(["de"]), Q.Common([("de", "der")]))
     assert x.word_count.tolist() == [6] and x.common_count.tolist() == [1]
     assert x.symbols.tolist() == [2] and x.line_count.tolist() == [2] and x.closed_count.tolist() == [1]
+
+
+def test_common_words_are_those_of_the_language():
+    import pyarrow as pa
+
+    common = Q.Common([("en", "die"), ("de", "die"), ("de", "und"), ("ja", "から"), ("ja", "の"), ("ja", "けれども"), (None, "x")])
+    texts = ["die und x", "die und x", "die und x", "それからけれ ども、のか。ら", "die und x", ""]
+    x = Q.Lines(pa.array(texts), pa.array(["en", "DE", None, "ja", "xx", None]), common)
+    # ja: the characters of から side by side, and の
+    assert x.common_count.tolist() == [1, 2, 3, 3, 3, 0]
+    assert Q.Lines(pa.array(["a"]), pa.array([None], pa.string()), Q.Common([])).common_count.tolist() == [0]
