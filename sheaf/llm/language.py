@@ -5,12 +5,16 @@ question; the language whose dictionary gives the smallest output is chosen, and
 is narrow. Sentences, and within a sentence runs of different scripts and long clauses, are classified apart; only
 those of more than FEW words can make a document mixed, so that borrowed names and titles do not.
 
-The dictionaries are made here from a bounded sample of TRAIN_ROWS labelled rows. Labels may be wrong, so a row enters
-a dictionary only if its words, over the whole sample, speak for its label.
+In every script a text without any dictionary is a rival too (STRANGE): a text in another language of the script is not
+much smaller under any of its dictionaries, so a language alone in its script does not win unopposed.
+
+The dictionaries are made here from a bounded sample: at most TRAIN_ROWS labelled rows of a label, of at most TRAIN_BYTES
+bytes each. Labels may be wrong, so a row enters a dictionary only if its words, over the whole sample, speak for its
+label.
 
 Defined results: null, empty and letterless texts have no language and give no row; rows delivered again give one row;
-a text whose margins are all narrow takes the language of the smallest sum over its parts, with the low confidence that
-this gives; extra columns are not read.
+a text whose parts all have narrow margins is judged by the sum over its parts; if that margin is narrow too, or the
+script has no dictionary, its language is UNKNOWN, with the confidence of the best guess or 0; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +31,17 @@ from pyspark.sql import functions as F
 
 from . import canonical
 
-TRAIN_ROWS = 20_000  # bound of the labelled sample
+TRAIN_ROWS = 2_000  # bound of the labelled rows of a label
+TRAIN_BYTES = 2_000  # bytes of a row of the sample
+UNKNOWN = "und"
 DICTIONARY = 64_000  # bytes of a dictionary
 LEVEL = 9
 FEW = 5  # words that a borrowed name or title may have
 FEW_CJK = 8  # the same in Han and kana characters
 MARGIN = 0.06  # least share of the output that the next language must take more
+SUM_MARGIN = 0.02  # the same for the sum over all parts of a text whose parts have narrow margins
+STRANGE, ALONE = 0.18, 0.6  # the same for the output without a dictionary; for a language alone in its script
+TELLING = 12  # characters of a part from which the output without a dictionary tells
 CLAUSE_MARGIN, CLAUSE_BYTES = 0.15, 6  # the same for a clause to stand apart from its sentence, and in bytes
 
 # Three-letter codes and English names of the languages, by two-letter code.
@@ -51,6 +60,8 @@ RUNS = {
     "D": re.compile(r"[ऀ-ॿ]+"),
     "H": re.compile(r"[぀-ヿ㐀-䶿一-鿿]"),
 }
+LETTER = re.compile(r"[^\W\d_]")
+OTHER = re.compile(r"[^\W\d_A-Za-zÀ-ɏЀ-ԯऀ-ॿ぀-ヿ㐀-䶿一-鿿]")  # letters of scripts that are not among the runs
 
 
 def label_language(meta: Column) -> Column:
@@ -74,6 +85,11 @@ class Languages:
             d.precompute_compress(level=LEVEL)
             self.code[lang] = zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.by_script[scripts[lang]].append(lang)
+        self.bare = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def rival(self, text: str) -> int:
+        """Bytes of the text without a dictionary."""
+        return len(self.bare.compress(text.encode()))
 
     def sizes(self, text: str, script: str) -> dict[str, int]:
         """Bytes of the text under each language of the script."""
@@ -120,6 +136,12 @@ def parts(text: str, langs: Languages) -> list[tuple[int, int, str | None, float
     def judge(s: str, p: int, q: int, n: int) -> tuple:
         sizes = langs.sizes(text[p:q], s)
         lang, sure, margin = verdict(sizes)
+        if q - p >= TELLING:
+            bare, a = langs.rival(text[p:q]), min(sizes.values())
+            if len(sizes) == 1:
+                sure = 1 / (1 + math.exp(min(0.0, (a - bare) / 2)))
+            if bare - a < (STRANGE if len(sizes) > 1 else ALONE) * a:
+                return (p, q, None, sure, weight(s, n) > 1, {})
         return (p, q, lang if margin >= MARGIN else None, sure, weight(s, n) > 1, sizes)
 
     for m in SENTENCE.finditer(text):
@@ -137,7 +159,7 @@ def parts(text: str, langs: Languages) -> list[tuple[int, int, str | None, float
                     if weight(s, k) > 1:
                         pieces.append(judge(s, at, cut, k))
                     at = cut
-            clear = [x for x in pieces if x[2] and apart(x[5])]
+            clear = [x for x in pieces if x[2] and len(x[5]) > 1 and apart(x[5])]
             if len({x[2] for x in clear}) > 1:
                 out += clear
             else:
@@ -158,24 +180,26 @@ def plain(text: str) -> str:
 
 def identify(text: str | None, langs: Languages) -> tuple[list[tuple[str, float]], list]:
     """Languages of a text with confidences (several: mixed), and its parts."""
-    found = parts(plain(text), langs) if text else []
+    form = plain(text) if text else ""
+    strange = len(OTHER.findall(form))
+    if 2 * strange > len(LETTER.findall(form)):
+        return [(UNKNOWN, 0.0)], []
+    found = parts(form, langs)
     if not found:
-        return [], []
-    big = [x for x in found if x[4] and x[2]]
+        return [(UNKNOWN, 0.0)] if LETTER.search(form) else [], []
     best: dict[str, float] = {}
-    for x in big:
-        best[x[2]] = max(best.get(x[2], 0.0), x[3])
-    if len(best) > 1:
+    for x in found:
+        if x[4] and x[2]:
+            best[x[2]] = max(best.get(x[2], 0.0), x[3])
+    if best:
         return sorted(best.items()), found
-    total: Counter = Counter()
     lead = max(found, key=lambda x: (x[4], x[1] - x[0]))
+    total: Counter = Counter()
     for x in found:
         if x[5].keys() == lead[5].keys():
             total.update(x[5])
-    lang, sure, _ = verdict(dict(total))
-    if best:
-        lang, sure = next(iter(best.items()))
-    return ([(lang, sure)] if lang else []), found
+    lang, sure, margin = verdict(dict(total))
+    return [(lang, sure) if lang and margin >= SUM_MARGIN else (UNKNOWN, sure)], found
 
 
 def train(rows: list[tuple[str, str]]) -> Languages:
@@ -215,10 +239,17 @@ def dictionaries(rows: list[tuple[str, str]]) -> tuple[dict[str, bytes], dict[st
 
 
 def sample(df: DataFrame, key: str, text: str, label: Column, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows, spread over the whole table by a hash of the key."""
-    n = df.count()
-    some = df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(max(1, n // rows))) == 0).select(F.col(key).alias("k"), F.col(text).alias("t"), label.alias("l")).where("t is not null and l is not null")
-    return [(r["t"], r["l"]) for r in some.limit(2 * rows).sort("k", "t").select("t", "l").collect()]
+    """A bounded sample of labelled rows, for each label spread over the whole table by a hash of the key. The labels are
+    those of NAMES, so their number is fixed."""
+    short = F.octet_length(text) <= TRAIN_BYTES
+    known = df.where(short).select(F.col(key).alias("k"), F.col(text).alias("t"), label.alias("l")).where("l is not null")
+    sizes = {r["l"]: r["count"] for r in known.groupBy("l").count().collect()}
+    if not sizes:
+        return []
+    parts = 1_000_000
+    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, math.ceil(parts * min(1.0, rows / n)))])
+    some = known.where(F.pmod(F.xxhash64("k"), F.lit(parts)) < share[F.col("l")])
+    return [(r["t"], r["l"]) for r in some.limit(2 * rows * len(sizes)).sort("k", "t").select("t", "l").collect()]
 
 
 def languages(df: DataFrame, meta: str, key: str = "seg_id", text: str = "text") -> DataFrame:
@@ -244,7 +275,8 @@ def languages(df: DataFrame, meta: str, key: str = "seg_id", text: str = "text")
 
 
 def issues(found: DataFrame, key: str = "seg_id") -> DataFrame:
-    """Rows with a problem: mixed (a row per language), missing or wrong label; rows delivered again count once."""
+    """Rows with a problem: mixed (a row per language), missing or wrong label; rows delivered again count once; of rows of
+    an unknown language nothing can be said."""
     n = F.size("langs")
-    issue = F.when(n > 1, "mixed").when(F.col("label").isNull(), "missing").when(F.col("label") != F.col("langs")[0]["lang"], "wrong")
+    issue = F.when(n > 1, "mixed").when(F.col("langs")[0]["lang"] == UNKNOWN, None).when(F.col("label").isNull(), "missing").when(F.col("label") != F.col("langs")[0]["lang"], "wrong")
     return found.select(key, issue.alias("issue"), F.explode("langs.lang").alias("lang")).where("issue is not null").distinct()

@@ -56,3 +56,24 @@ def test_issues(spark):
     got = sorted(tuple(r) for r in L.issues(L.languages(df, "meta")).collect())
     assert got == [(9001, "wrong", "en"), (9002, "missing", "en"), (9003, "mixed", "de"), (9003, "mixed", "en")]
     assert L.issues(L.languages(df.limit(0), "meta")).count() == 0
+
+
+def test_rejection():
+    langs = trained()
+    assert L.identify("Suomen kieli kuuluu uralilaisiin kieliin ja sitä puhutaan pääasiassa Suomessa.", langs)[0][0][0] == L.UNKNOWN
+    for text in ("هذه جملة باللغة العربية", "Αυτή είναι μια πρόταση", "한국어 문장입니다", "זה משפט בעברית", "نص عربي طويل with two words"):
+        assert L.identify(text, langs)[0] == [(L.UNKNOWN, 0.0)]
+    # a language alone in its script does not win unopposed
+    rnd = random.Random(6)
+    hindi = "यह नदी के किनारे सुबह बहुत सुंदर लगती है और लोग वहाँ घूमने आते हैं".split()
+    rows = [(" ".join(rnd.choice(hindi) for _ in range(12)), "hi") for _ in range(200)]
+    one = L.train(rows)
+    assert L.identify(rows[0][0], one)[0][0][0] == "hi"
+    assert L.identify("मराठी ही महाराष्ट्राची अधिकृत भाषा असून तिचा इतिहास खूपच जुना आहे", one)[0][0][0] == L.UNKNOWN
+
+
+def test_sample_is_bounded_by_label_and_bytes(spark):
+    rows = [(i, "a b", "en") for i in range(300)] + [(1000 + i, "c d", "fi") for i in range(5)] + [(2000, "x" * 5000, "fi"), (2001, None, "en"), (2002, "e", None)]
+    df = spark.createDataFrame(rows, "seg_id long, text string, l string")
+    got = L.sample(df, "seg_id", "text", F.col("l"), 50)
+    assert 20 < sum(x == "en" for _, x in got) < 100 and sum(x == "fi" for _, x in got) == 5
