@@ -92,22 +92,19 @@ def pieces(spans: list[tuple[int, int]], marks: np.ndarray, limit: Limit) -> lis
         done = cut
 
 
-def text_pieces(df: DataFrame, limit: Limit, key: str = "source_id", text: str = "text", ev: sentences.Evidence | None = None) -> DataFrame:
+def text_pieces(df: DataFrame, limit: Limit, key: str = "source_id", text: str = "text", ev: sentences.Evidence | DataFrame | None = None) -> DataFrame:
     """Pieces (key, piece, begin, end, hard), in code points, of the texts over the limit."""
-    shared = df.sparkSession.sparkContext.broadcast((ev or sentences.gather(df, text)).rows)
     bits = max(1, int(np.log2(max(2, limit.max_size / 3))))
 
-    def of(known: sentences.Evidence, t: str) -> list[tuple[int, int, bool]]:
+    def one(t: str, known: sentences.Evidence) -> list[tuple[int, int, bool]]:
         spans = sentences.units(t, known) or [(0, len(t))]
         return pieces(spans, landmarks(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), bits), limit)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sentences.Evidence(shared.value)
-        for batch in batches:
-            yield rows(key, batch.column(0), (of(known, t) for t in batch.column(1).to_pylist()))
+    def of(keys: pa.Array, texts: list[str], known: Iterator[sentences.Evidence]) -> pa.RecordBatch:
+        return rows(key, keys, map(one, texts, known))
 
     over = df.select(key, text).where(F.char_length(text) > limit.max_size)
-    return over.mapInArrow(run, schema(df, key))
+    return sentences.with_known(over, key, text, sentences.gather(df, text) if ev is None else ev, of, schema(df, key))
 
 
 def entry_pieces(df: DataFrame, limit: Limit, key: str = "source_id", entries: str = "transcription.timestamps") -> DataFrame:

@@ -15,17 +15,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Least share of all evidence of a kind that a word needs to enter the broadcast table, so that the table has at
-#: most 1 / MIN_SHARE rows of a kind at any corpus size.
-MIN_SHARE = 1e-5
+#: Rows of evidence up to which they are broadcast. Only rows that decide otherwise than no evidence would are kept, and
+#: no word is too rare for that; a table with more of them is joined with the words that the texts ask for.
+MOST = 500_000
 #: Occurrences before a stop from which the corpus decides about a word.
 MIN_EVIDENCE = 5
+#: Characters of a unit before an ellipsis up to which its words are compared.
+FRAGMENT = 400
 #: Marks that may be open at once between a quotation mark or bracket and its partner.
 DEEP = 100
 
@@ -208,6 +211,28 @@ class Evidence:
         return "unknown"
 
 
+def asks(text: str) -> set[tuple[str, str]]:
+    """(kind, word) of all evidence that the units of a text may depend on: the words before all stops, the tails before
+    ellipses, and what stands between an ellipsis and any place before it where a unit may begin."""
+    out: set[tuple[str, str]] = set()
+    for a, b in paragraphs(text):
+        begins = [a]
+        for m in EVENT.finditer(text, a, b):
+            if m.group()[0] in STOPS:
+                if (word := before(text, a, m.start())):
+                    out.add(("w", word))
+                if (t := tail(text, a, m.start())):
+                    out.add(("c", t))
+                if m.group() not in (".", "．") and not set(m.group()) & STRONG:
+                    out |= {("f", part) for at in begins if (part := fragment(text, at, m.start()))}
+            begins = [at for at in begins if m.end() - at <= FRAGMENT] + [m.end()]
+        for line in re.finditer(r"\n", text[a:b]):  # lines may begin units too
+            for m in EVENT.finditer(text, a + line.end(), min(b, a + line.end() + FRAGMENT)):
+                if m.group()[0] in STOPS and m.group() not in (".", "．") and (part := fragment(text, a + line.end(), m.start())):
+                    out.add(("f", part))
+    return out
+
+
 class Document(Evidence):
     """What a text says about itself; where it is silent, the corpus decides. Read once it is asked."""
 
@@ -271,7 +296,7 @@ def tail(text: str, a: int, i: int) -> str:
 
 def fragment(text: str, a: int, i: int) -> str | None:
     """The words of a unit before an ellipsis in one form, None if they are many."""
-    if i - a > 400:
+    if i - a > FRAGMENT:
         return None
     x = text[a:i].strip().lstrip("—–-¿¡\"'“„«‘»(")
     return " ".join(x.lower().split()) if len(x) <= 48 else None
@@ -406,53 +431,111 @@ def evidence(text: str | None, into: Counter) -> None:
                 at = i
 
 
-def gather(df: DataFrame, text: str = "text") -> Evidence:
-    """Corpus evidence in one pass; only words with a share of at least MIN_SHARE of their kind come to the driver."""
+def decisive(kind: str, word: str, row: tuple[int, int, int, int]) -> bool:
+    """Whether the evidence changes anything: the kind of the word, or whether it is counted as a short form."""
+    ev = Evidence({(kind, word): row})
+    if kind == "w":
+        return ev.kind(word) != Evidence().kind(word) or (ev.counted(word) and ev.kind(word) != "word")
+    return ev.opener(word) if kind == "f" else ev.closes(word)
+
+
+ROW = "kind string, word string, low long, up long, fin long, bare long"
+
+
+def corpus_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """The evidence of all texts that decides anything: (kind, word, low, up, fin, bare)."""
+    names = ["kind", "word", "low", "up", "fin", "bare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 evidence(t, into)
+            if len(into) > MOST:  # what a task holds stays bounded
+                yield of(into)
+                into = Counter()
+        yield of(into)
+
+    def of(into: Counter) -> pa.RecordBatch:
         rows = tabled(into)
         cols = [pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())]
-        yield pa.RecordBatch.from_arrays(cols + [pa.array([v[i] for v in rows.values()], pa.int64()) for i in range(4)], names=["kind", "word", "low", "up", "fin", "bare"])
-
-    table = (
-        df.select(text)
-        .mapInArrow(run, "kind string, word string, low long, up long, fin long, bare long")
-        .groupBy("kind", "word")
-        .agg(*(F.sum(c).alias(c) for c in ("low", "up", "fin", "bare")))
-        .withColumn("seen", F.col("low") + F.col("up") + F.col("fin"))
-        .where("seen > 0")
-    )
-    table = table.persist()
-    try:
-        totals = {r["kind"]: r["n"] for r in table.groupBy("kind").agg(F.sum("seen").alias("n")).collect()}
-        least = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(n) * MIN_SHARE)]) if totals else F.create_map(F.lit(""), F.lit(0.0))
-        rows = table.where(F.col("seen") >= least[F.col("kind")]).collect()
-    finally:
-        table.unpersist()
-    return Evidence({(r["kind"], r["word"]): (r["low"], r["up"], r["fin"], r["bare"]) for r in rows})
-
-
-def sentence_units(df: DataFrame, key: str = "source_id", text: str = "text", ev: Evidence | None = None) -> DataFrame:
-    """One row per sentence unit: key, begin_char, end_char (code points, half-open)."""
-    shared = df.sparkSession.sparkContext.broadcast((ev or gather(df, text)).rows)
+        return pa.RecordBatch.from_arrays(cols + [pa.array([v[i] for v in rows.values()], pa.int64()) for i in range(4)], names=names)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([decisive(k, w, tuple(v)) for k, w, *v in zip(*(c.to_pylist() for c in batch.columns))], pa.bool_()))
+
+    table = df.select(text).mapInArrow(run, ROW).groupBy("kind", "word").agg(*(F.sum(c).alias(c) for c in names[2:]))
+    return table.where("low + up + fin > 0").mapInArrow(keep, ROW)
+
+
+def gather(df: DataFrame, text: str = "text") -> Evidence | DataFrame:
+    """Corpus evidence in one pass over the texts: on the driver if it has at most MOST rows, else as a table."""
+    table = corpus_rows(df, text).persist()
+    some = table.limit(MOST + 1).collect()
+    if len(some) > MOST:
+        return table
+    table.unpersist()
+    return Evidence({(r["kind"], r["word"]): (r["low"], r["up"], r["fin"], r["bare"]) for r in some})
+
+
+def with_evidence(df: DataFrame, key: str, text: str, rows: DataFrame) -> DataFrame:
+    """(key, text, said): each text with the evidence that it may ask for, as an array of rows. Only the words are joined
+    with the evidence; the texts are shuffled once, by a hash of key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Evidence(shared.value)
         for batch in batches:
-            ids: list[int] = []
-            begin: list[int] = []
-            end: list[int] = []
+            ids: list[str] = []
+            kinds: list[str] = []
+            words: list[str] = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = units(t, known)
-                ids += [i] * len(found)
-                begin += [p for p, _ in found]
-                end += [q for _, q in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=[key, "begin_char", "end_char"])
+                for kind, word in asks(t):
+                    ids.append(i)
+                    kinds.append(kind)
+                    words.append(word)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (ids, kinds, words)], names=["_row", "kind", "word"])
+
+    row = F.concat_ws("-", F.xxhash64(key, text), F.xxhash64(F.lit(1), key, text))
+    texts = df.select(key, text).where(F.col(text).isNotNull()).withColumn("_row", row)
+    asked = texts.select("_row", text).dropDuplicates(["_row"]).mapInArrow(run, "_row string, kind string, word string")
+    said = asked.join(rows, ["kind", "word"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "word", "low", "up", "fin", "bare")).alias("said"))
+    return texts.join(said, "_row", "left").select(key, text, "said")
+
+
+def with_known(df: DataFrame, key: str, text: str, ev: Evidence | DataFrame, of: Callable[[pa.Array, list[str], Iterator[Evidence]], pa.RecordBatch], schema: str) -> DataFrame:
+    """of(keys, texts, evidence for each text) over all batches, with the evidence broadcast or joined."""
+    if isinstance(ev, DataFrame):
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                said = batch.column(2).to_pylist()
+                yield of(batch.column(0), batch.column(1).to_pylist(), (Evidence({(r["kind"], r["word"]): (r["low"], r["up"], r["fin"], r["bare"]) for r in x or ()}) for x in said))
+
+        return with_evidence(df, key, text, ev).mapInArrow(joined, schema)
+    shared = df.sparkSession.sparkContext.broadcast(ev.rows)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Evidence(shared.value)
+        for batch in batches:
+            yield of(batch.column(0), batch.column(1).to_pylist(), repeat(known))
+
+    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, schema)
+
+
+def sentence_units(df: DataFrame, key: str = "source_id", text: str = "text", ev: Evidence | DataFrame | None = None) -> DataFrame:
+    """One row per sentence unit: key, begin_char, end_char (code points, half-open)."""
     sort = df.schema[key].dataType.simpleString()
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[sort]
-    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {sort}, begin_char int, end_char int")
+
+    def of(keys: pa.Array, texts: list[str], known: Iterator[Evidence]) -> pa.RecordBatch:
+        ids: list[int] = []
+        begin: list[int] = []
+        end: list[int] = []
+        for i, t, k in zip(keys.to_pylist(), texts, known):
+            found = units(t, k)
+            ids += [i] * len(found)
+            begin += [p for p, _ in found]
+            end += [q for _, q in found]
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=[key, "begin_char", "end_char"])
+
+    return with_known(df, key, text, gather(df, text) if ev is None else ev, of, f"`{key}` {sort}, begin_char int, end_char int")

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -90,3 +91,20 @@ def test_the_document_decides_first():
     assert cut("They sat abt. twelve days. It took abt. Bell came, for men know Bell.", S.Evidence())[1:] == ["It took abt. Bell came, for men know Bell."]
     # the end of a list entry is no sign of a short form
     assert cut("1) an empty cradle.\n2) a kettle\n\nHe saw a cradle. Bell left.", S.Evidence())[2:] == ["He saw a cradle.", "Bell left."]
+
+
+def test_joined_evidence_gives_the_same(spark, monkeypatch):
+    words = "abt. fig. Gen. No. said… well… he end. p.m. cradle kettle 中文。 かな… と वह। Bell".split()
+    rnd = random.Random(3)
+    rows = [(i % 90, " ".join(rnd.choice(words + ["Then", "the", "men"]) + rnd.choice(["", " ", "\n", "\n\n", "? ", "… "]) for _ in range(rnd.randint(0, 80)))) for i in range(100)] + [(200, None), (201, "")]
+    df = spark.createDataFrame(rows, "source_id long, text string")
+    whole = sorted(map(tuple, S.sentence_units(df).collect()))
+    monkeypatch.setattr(S, "MOST", 3)
+    assert sorted(map(tuple, S.sentence_units(df).collect())) == whole and len(whole) > 500
+
+
+def test_more_corpus_does_not_change_a_text():
+    text = "They met at Abt. Nine men came. See abt. twelve."
+    rare = corpus(*["It is abt. ten. It is abt. nine."] * 6)
+    big = corpus(*["It is abt. ten. It is abt. nine."] * 6, *[f"The word{k % 50} ended. Then word{k % 70} ended." for k in range(3000)])
+    assert cut(text, rare) == cut(text, big)
