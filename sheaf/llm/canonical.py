@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import weakref
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -115,7 +116,7 @@ def forms(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     tall = df.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("v"))
     tall = tall.select(F.col("v.field").alias("field"), key, F.col("v.value").alias("value")).where("value is not null")
     read = tall.withColumn("raw", both(F.col("value"))).mapInArrow(run, f"field string, `{key}` {sort}, raw string, form string, spots array<struct<a:int,n:int,old:string,new:string>>")
-    read = read.persist()
+    read = held(read)
     wanted = read.select(F.explode("spots").alias("s")).select(F.lower("s.new").alias("token"), F.lower("s.old").alias("old"))
     spelt = wanted.groupBy("token").agg(F.min("old").alias("x"), F.max("old").alias("y"))
     words = read.select(F.explode(F.split(F.lower("form"), r"[^\p{L}\p{M}]+")).alias("token")).distinct()
@@ -131,7 +132,7 @@ def forms(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(whole, pa.string())], names=["field", key, "raw", "form"])
 
     fixed = marked.join(accepted, ["field", key, "raw"], "left").select("field", key, "raw", "form", "fix").mapInArrow(rebuild, f"field string, `{key}` {sort}, raw string, form string")
-    return plain.unionByName(fixed)
+    return keeping(plain.unionByName(fixed), read)
 
 
 def repaired(form: str, fix: list[dict] | None) -> str:
@@ -148,14 +149,46 @@ def both(value: Column) -> Column:
     return F.concat_ws("-", F.xxhash64(value), F.xxhash64(F.lit(1), value))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The table, kept once computed, and released when nothing refers to it any more."""
+    kept = df.persist()
+    weakref.finalize(kept, kept._jdf.unpersist, False).atexit = False
+    return kept
+
+
+def keeping(out: DataFrame, *parts: DataFrame) -> DataFrame:
+    """The result, which refers to the kept tables that it is made of."""
+    out._kept = parts
+    return out
+
+
+#: Rows of a form that meet all others of it in one task.
+HOT = 2000
+
+
 def alike(found: DataFrame, key: str) -> DataFrame:
     """Pairs (field, key a, key b) of different keys, smaller first, with the same form and different characters.
 
     Forms of which all values are the same are left out first, by pre-aggregated extremes, however often they repeat;
-    the others meet on their form; skewed forms are split by adaptive execution."""
-    rows = found.select("field", F.col(key).alias("k"), "raw", both(F.col("form")).alias("form")).distinct().persist()
-    several = rows.groupBy("field", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "form")
-    some = rows.join(several, ["field", "form"]).persist()
-    a, b = some.alias("a"), some.alias("b")
-    pair = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.form") == F.col("b.form")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.k") < F.col("b.k")))
-    return pair.select(F.col("a.field").alias("field"), F.col("a.k").alias(f"{key}_a"), F.col("b.k").alias(f"{key}_b")).distinct()
+    the others meet on their form. A form of many rows is salted: one side is cut into parts of about HOT rows, the other
+    meets each of them. Where a form has too many pairs to be written out, see classes."""
+    rows = held(found.select("field", F.col(key).alias("k"), "raw", both(F.col("form")).alias("form")).distinct())
+    several = rows.groupBy("field", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    some = held(rows.join(several.select("field", "form", F.ceil(F.col("n") / HOT).alias("parts")), ["field", "form"]))
+    a = some.withColumn("part", F.pmod(F.xxhash64("k", "raw"), F.col("parts"))).alias("a")
+    b = some.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).alias("b")
+    same = (F.col("a.field") == F.col("b.field")) & (F.col("a.form") == F.col("b.form")) & (F.col("a.part") == F.col("b.part"))
+    pair = a.join(b, same & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.k") < F.col("b.k")))
+    out = pair.select(F.col("a.field").alias("field"), F.col("a.k").alias(f"{key}_a"), F.col("b.k").alias(f"{key}_b")).distinct()
+    return keeping(out, found, rows, some)
+
+
+def classes(found: DataFrame, key: str) -> DataFrame:
+    """The same without writing out pairs: one row (field, key, class, spelling, links) per value of a form that is
+    written in several ways. class and spelling are hashes of form and characters; links is the number of rows of the
+    class with another spelling. Rows that are not here have no links; copies of a spelling are not linked."""
+    rows = found.select("field", key, F.col("raw").alias("spelling"), both(F.col("form")).alias("class")).distinct()
+    spellings = rows.groupBy("field", "class", "spelling").agg(F.count(F.lit(1)).alias("same"))
+    whole = spellings.groupBy("field", "class").agg(F.sum("same").alias("all"), F.count(F.lit(1)).alias("ways")).where("ways > 1")
+    links = spellings.join(whole, ["field", "class"]).select("field", "class", "spelling", (F.col("all") - F.col("same")).alias("links"))
+    return keeping(rows.join(links, ["field", "class", "spelling"]).select("field", key, "class", "spelling", "links"), found)

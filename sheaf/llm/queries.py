@@ -18,12 +18,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.forms(table(spark, sf_dir, "audioseg"), "seg_id", ["orig", "text"]).select("field", "seg_id", "form").distinct()
+    forms = canonical.forms(table(spark, sf_dir, "audioseg"), "seg_id", ["orig", "text"])
+    return canonical.keeping(forms.select("field", "seg_id", "form").distinct(), forms)
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.classes(canonical.forms(table(spark, sf_dir, "audioseg"), "seg_id", ["orig", "text"]), "seg_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = canonical.forms(table(spark, sf_dir, "audioseg"), "seg_id", ["orig", "text"])
-    return canonical.alike(forms, "seg_id").toDF("field", "seg_a", "seg_b")
+    pairs = canonical.alike(forms, "seg_id")
+    return canonical.keeping(pairs.toDF("field", "seg_a", "seg_b"), pairs)
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,20 @@ def test_many_repairs_in_a_long_text(spark):
     df = spark.createDataFrame([(1, "Dеr Müller sаng. " * 5000), (2, "Der Müller sang. " * 5000)], "seg_id long, text string")
     forms = {r.seg_id: r.form for r in C.forms(df, "seg_id", ["text"]).collect()}
     assert forms[1] == forms[2] and len(forms[1]) == 85_000
+
+
+def test_hot_forms_and_classes(spark, monkeypatch):
+    rows = [(i, ["a b", "a b", "a​b c", "ab c", "other"][i % 5] + ("!" if i % 3 else "")) for i in range(60)] + [(100, None), (5, "a b")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    want = {(a, b) for a, x in rows for b, y in rows if x is not None and y is not None and a < b and x != y and C.unified(x) == C.unified(y)}
+    forms = C.forms(df, "id", ["t"])
+    for hot in (2000, 4):
+        monkeypatch.setattr(C, "HOT", hot)
+        got = [(r.id_a, r.id_b) for r in C.alike(forms, "id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    links = {}
+    for a, b in want:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    got = C.classes(forms, "id").collect()
+    assert {r.id for r in got} == set(links) and sum(r.links for r in got if r.id != 5) == sum(n for k, n in links.items() if k != 5)
+    assert C.classes(C.forms(df.limit(0), "id", ["t"]), "id").count() == 0
