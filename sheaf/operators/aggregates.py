@@ -1,7 +1,7 @@
 """Aggregates of sample sets: histograms, totals, robust statistics, vector means, metrics.
 
 All group-bys combine on the map side, so a key that a third of all rows have reaches its reducer as one row a task;
-exact percentiles keep a map of distinct values, which the caller bounds by rounding. Sums are in decimals where rows
+exact percentiles count by key and value first and find the ranks over cells of values where a key is large. Sums are in decimals where rows
 must match to the last digit.
 
 Defined results: null values are left out of statistics and counted in n only where said; a null key is a group; a
@@ -36,12 +36,52 @@ def hours_by_level(df: DataFrame, speaker: str, sub: str, seconds: Column) -> Da
     return low.withColumn("is_total", F.lit(False)).unionByName(high.withColumn("is_total", F.lit(True))).withColumn("hours", F.col("hours").cast("double"))
 
 
+#: Rows of a key up to which one reducer may hold all its distinct values.
+HOT_KEY = 1_000_000
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], hot: int = HOT_KEY) -> DataFrame:
+    """(keys, q): exact quantiles of each key, with linear interpolation, as an array in the order of qs; sent to all
+    executors where the keys, which are counted, are few.
+
+    Where a key has more than `hot` rows, its values are counted (key, value) by (key, value); the counts are summed up
+    over cells of values, whose bounds are approximate quantiles of the key, and the values at the wanted ranks are
+    picked. So no task holds all values of a key."""
+    from . import celled, joins
+
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    n, largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
+    hint = F.broadcast if n <= joins.SMALL else (lambda d: d)
+    if (largest or 0) <= hot:
+        return hint(rows.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, qs))).alias("q")))
+
+    def looked_up(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        return a.alias("a").join(hint(b).alias("b"), on).select("a.*", *(f"b.{c}" for c in columns))
+
+    of = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*(F.lit(i / 64) for i in range(1, 64))), F.lit(1000)).alias("_e"), F.count(F.lit(1)).alias("_all"))
+    counts = looked_up(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), of, ["_e", "_all"])
+    cell = F.size(F.filter("_e", lambda e: e < F.col("_v")))
+    summed = celled.running_sum(counts, keys, ["_v"], cell, F.col("_n"), "_c")
+    picks = []
+    for i, q in enumerate(qs):
+        place = (F.col("_all") - 1) * F.lit(q)
+        for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            picks.append(F.max(F.when((F.col("_c") - F.col("_n") <= rank) & (rank < F.col("_c")), F.col("_v"))).alias(f"_{side}{i}"))
+    found = summed.groupBy(*keys).agg(F.max("_all").alias("_all"), *picks)
+    at = lambda q: (F.col("_all") - 1) * F.lit(q)
+    mixed = [F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise((F.ceil(at(q)) - at(q)) * F.col(f"_low{i}") + (at(q) - F.floor(at(q))) * F.col(f"_high{i}")) for i, q in enumerate(qs)]
+    return hint(found.select(*keys, F.array(*mixed).alias("q")))
+
+
 def sample_stats(df: DataFrame, keys: list[str], value: str, q: float = 0.05, least: float = 0.01) -> DataFrame:
     """Per sample: values over the least one, clamped to their q and 1-q quantiles; min, max, mean, unbiased variance.
 
     Two aggregations over the same grouping: the quantiles are joined back by the sample key."""
     valid = df.where(F.col(value) > least).select(*keys, F.col(value).alias("_v"))
-    bounds = valid.groupBy(*keys).agg(F.percentile("_v", F.array(F.lit(q), F.lit(1 - q))).alias("_q"))
+    bounds = quantiles(valid, keys, "_v", [q, 1 - q]).withColumnRenamed("q", "_q")
     clamped = valid.join(bounds, keys).withColumn("_v", F.least(F.greatest("_v", F.col("_q")[0]), F.col("_q")[1]))
     return clamped.groupBy(*keys).agg(F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"), F.var_samp("_v").alias("var"), F.count("_v").alias("n"))
 
@@ -59,8 +99,7 @@ def speaker_ranges(stats: DataFrame, keys: list[str], digits: int = 8) -> DataFr
 
 
 def quantile_band(df: DataFrame, keys: list[str], value: str, q: float = 0.95, digits: int = 8) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(1 - q), F.lit(q)))
-    return df.groupBy(*keys).agg(p.alias("p")).select(*keys, F.round(F.col("p")[0], digits).alias("low"), F.round(F.col("p")[1], digits).alias("high"))
+    return quantiles(df, keys, value, [1 - q, q]).select(*keys, F.round(F.col("q")[0], digits).alias("low"), F.round(F.col("q")[1], digits).alias("high"))
 
 
 def mean_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -79,12 +118,22 @@ def average_or_default(df: DataFrame, key: str, value: str, default: float, digi
     return df.groupBy(key).agg(F.round(F.when(F.max(value) > 0, F.avg(value)).otherwise(F.lit(default)), digits).alias("average"))
 
 
-def segments(df: DataFrame, keys: list[str], value: str, order: Column, digits: int = 8) -> DataFrame:
-    """Aggregates of the frames of each segment: mean, median, range and difference of last and first."""
-    first, last = F.min_by(value, order), F.max_by(value, order)
-    return df.groupBy(*keys).agg(
-        F.round(F.avg(value), digits).alias("mean"), F.round(F.median(value), digits).alias("median"), F.round(F.max(value) - F.min(value), digits).alias("span"), F.round(last - first, digits).alias("diff")
-    )
+def segments(df: DataFrame, keys: list[str], value: str, order: list[str], digits: int = 8) -> DataFrame:
+    """Aggregates of the frames of each segment: mean, median, max, min, span, and the means of first and second
+    differences in the given order, which are 0 for segments of at most 2 and 3 frames. The means follow from the first
+    two and the last two frames. A segment has the frames of one unit, so it is small."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    edge = lambda f, n, k: F.max(F.when(F.col(n) == k, F.col(value))).alias(f)
+    rows = df.withColumns({"_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    rows = rows.withColumn("_j", F.col("_n") - F.col("_i") + 1)
+    s = rows.groupBy(*keys).agg(
+        F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("max"), F.min(value).alias("min"), F.max("_n").alias("_n"),
+        edge("_a", "_i", 1), edge("_b", "_i", 2), edge("_y", "_j", 2), edge("_z", "_j", 1),
+    )
+    diff = F.when(F.col("_n") > 2, (F.col("_z") - F.col("_a")) / (F.col("_n") - 1)).otherwise(0.0)
+    bend = F.when(F.col("_n") > 3, ((F.col("_z") - F.col("_y")) - (F.col("_b") - F.col("_a"))) / (F.col("_n") - 2)).otherwise(0.0)
+    parts = {"mean": F.col("mean"), "median": F.col("median"), "max": F.col("max"), "min": F.col("min"), "span": F.col("max") - F.col("min"), "diff": diff, "bend": bend}
+    return s.select(*keys, *(F.round(c, digits).alias(k) for k, c in parts.items()))
 
 
 def robust_mean(df: DataFrame, keys: list[str], value: str, digits: int = 8) -> DataFrame:
@@ -96,7 +145,7 @@ def robust_mean(df: DataFrame, keys: list[str], value: str, digits: int = 8) ->
 
 def clipped_mean(df: DataFrame, keys: list[str], value: str, q: float, digits: int = 8) -> DataFrame:
     """Mean of the values clipped to their q and 1-q quantiles."""
-    bounds = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(q), F.lit(1 - q))).alias("_q"))
+    bounds = quantiles(df, keys, value, [q, 1 - q]).withColumnRenamed("q", "_q")
     return df.join(bounds, keys).groupBy(*keys).agg(F.round(F.avg(F.least(F.greatest(value, F.col("_q")[0]), F.col("_q")[1])), digits).alias("mean"))
 
 

@@ -28,8 +28,11 @@ def without_label(line: Column, separator: str = "|") -> Column:
 
 
 def band(df: DataFrame, value: Column, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Rows whose value is in the closed band."""
-    return df.where(value.between(F.lit(0 if low is None else low), F.lit(1e9 if high is None else high)))
+    """Rows whose value is in the closed band; a bound that is not given does not bind."""
+    inside = value.isNotNull()
+    if low is not None:
+        inside = inside & (value >= low)
+    return df.where(inside & (value <= high) if high is not None else inside)
 
 
 def unit_outliers(units: Column, low: float | None, high: float | None, strict: bool = False) -> Column:
@@ -77,14 +80,22 @@ def long_enough(df: DataFrame, key: str, seconds: Column, hours: float) -> DataF
 
 
 def repeated_word(text: Column, times: int = 10) -> Column:
-    """Whether a word of more than one character comes at least so often in the text, as in made-up transcripts. Works
-    within the row; the words of a text are sorted once, then runs are looked up, so long texts stay linear."""
-    words = F.array_sort(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: F.length(w) > 1))
+    """Whether a word of more than one character, as parted by white space, comes at least so often in the text of a
+    segment, as in made-up transcripts. Works within the row; the words are sorted once, then runs are looked up, so long
+    texts stay linear."""
+    words = F.array_sort(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 1))
     starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - times + 1, F.lit(1)))
     hit = let(words, lambda w: (F.size(w) >= times) & F.exists(starts(w), lambda i: F.get(w, i - 1) == F.get(w, i + times - 2)))
     return F.coalesce(hit, F.lit(False))
 
 
+def kept_segments(segments: Column, times: int = 10) -> Column:
+    """The segments of a transcript without those that repeat a word too often; null, a failed transcript, if the only
+    segment does."""
+    kept = F.filter(segments, lambda s: ~repeated_word(s, times))
+    return F.when((F.size(segments) != 1) | (F.size(kept) == 1), kept)
+
+
 def shouting(text: Column) -> Column:
     """Whether the text has letters and all are capitals."""
     return F.coalesce((text == F.upper(text)) & (text != F.lower(text)), F.lit(False))

@@ -1,7 +1,7 @@
 """Global order: numbering, head, shuffle, splits, sequential batches; none of them sorts all rows in one task.
 
 A table is numbered over the key id: ids fall into cells of `width` ids; the cells are counted, their running counts
-are found over one row per cell, and each task orders one cell.
+are found over one row per cell, in two levels, and each task orders one cell.
 
 Defined results: ids should be unique, else equal rows come in any order; a null id comes first; an empty table gives
 an empty table; extra columns pass through.
@@ -19,8 +19,10 @@ WIDTH = 50_000
 
 def positions(df: DataFrame, key: str, lead: list[str] | None = None, name: str = "pos", width: int = WIDTH) -> DataFrame:
     """Number of each row, from 1, in the order of the lead columns (few values, or as many as cells may be) and key."""
-    cell = F.struct(*(lead or []), F.floor(F.col(key) / width).alias("_id"))
-    return celled.numbered(df, [], [*(lead or []), key], cell, name)
+    ids = F.floor(F.col(key) / width)
+    if lead:  # cells of ids within each value of the lead columns
+        return celled.numbered(df, [], [*lead, key], F.struct(*lead, ids.alias("_id")), name, upper=lambda c: F.struct(*(c[x].alias(x) for x in lead)))
+    return celled.numbered(df, [], [key], ids, name, upper=celled.thousands)
 
 
 def total(df: DataFrame) -> Column:
@@ -45,7 +47,7 @@ def header_split(df: DataFrame, key: str, line: str) -> DataFrame:
     """Lines under [NAME] header lines: each line with the name of the header above it; lines before any have null."""
     head = F.regexp_extract(F.trim(F.col(line)), r"^\[([^\]|]+)\]$", 1)
     rows = df.withColumn("_head", F.when(head != "", head))
-    return celled.filled(rows, [], [key], F.floor(F.col(key) / WIDTH), "_head", "subset").where("_head is null").drop("_head")
+    return celled.filled(rows, [], [key], F.floor(F.col(key) / WIDTH), "_head", "subset", upper=celled.thousands).where("_head is null").drop("_head")
 
 
 def sequential_batches(df: DataFrame, key: str, size: int, lead: list[str] | None = None) -> DataFrame:

@@ -21,8 +21,9 @@ BLOCK = 20_000
 
 
 def uniform(key: Column, seed: int) -> Column:
-    """A repeatable number in [0, 1) of a key."""
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(2**53))
+    """A repeatable number in [0, 1) of a key: the first 52 bits of the digest of seed:key, which any engine can give."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+    return F.conv(F.left(digest, F.lit(13)), 16, 10).cast("bigint") / F.lit(float(2**52))
 
 
 def folded(df: DataFrame, keys: list[str], order: str, cost: str, step, columns: str) -> DataFrame:
@@ -172,7 +173,7 @@ def bucketed_batches(df: DataFrame, key: str, length: str, size: int, seed: int
     rows = df.select(key, (-F.coalesce(F.col(length), F.lit(0))).alias("_d"))
     b = ordering.sequential_batches(rows, key, size, ["_d"]).select(key, "batch_id")
     ids = b.select("batch_id").distinct().withColumn("_h", F.xxhash64("batch_id", F.lit(seed)))
-    place = celled.numbered(ids, [], ["_h", "batch_id"], F.shiftright("_h", 52), "place")
+    place = celled.numbered(ids, [], ["_h", "batch_id"], F.shiftright("_h", 44), "place", upper=celled.thousands)
     return b.join(place.select("batch_id", (F.col("place") - 1).alias("place")), "batch_id")
 
 
@@ -217,10 +218,11 @@ def weighted_epoch(df: DataFrame, key: str, weight: Column, size: int, seed: int
     numbers are cut into cells, so neither side is sorted in one task."""
     w = df.select(F.col(key).alias("_k"), weight.cast("decimal(38,18)").alias("_w")).where("_w > 0")
     total = w.agg(F.sum("_w").cast("double")).scalar()
-    run = celled.running_sum(w, [], ["_k"], F.floor(F.col("_k") / ordering.WIDTH), F.col("_w"), "_s")
+    cells = F.greatest(F.lit(64), F.ceil((ordering.total(w) + size) / 20_000))
+    run = celled.running_sum(w, [], ["_k"], F.floor(F.col("_k") / ordering.WIDTH), F.col("_w"), "_s", upper=celled.thousands)
     cdf = run.select(((F.col("_s") - F.col("_w")).cast("double") / total).alias("u"), F.col("_k").alias("id"))
     draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("u"))
-    out = joins.as_of(draws, cdf, [], "u", "id", F.floor(F.col("u") * 1024))
+    out = joins.as_of(draws, cdf, [], "u", "id", F.floor(F.col("u") * cells), upper=celled.thousands)
     return out.select("draw", F.col("as_of_id").alias(key))
 
 

@@ -139,11 +139,11 @@ def untranscribed(spark, d):
     return table(spark, d, "audiobook").where("transcription is null").select("source_id")
 
 
-@query("""select source_id, coalesce(upper_case, false) as shouting, source_id in (select source_id from (select source_id, unnest(regexp_split_to_array(lower(transcription.text), '[^\\p{L}\\p{M}\\p{N}]+')) as w from audiobook)
-  where length(w) > 1 group by source_id, w having count(*) >= 10) as repeated from (select source_id, transcription.text = upper(transcription.text) and transcription.text <> lower(transcription.text) as upper_case from audiobook)""")
+@query("""select distinct seg_id, coalesce(text = upper(text) and text <> lower(text), false) as shouting, seg_id in (select seg_id from (select seg_id, unnest(string_split_regex(text, '\\s+')) as w from (select distinct seg_id, text from audioseg))
+  where length(w) > 1 group by seg_id, w having count(*) >= 3) as repeated from audioseg""")
 def hallucinated(spark, d):
-    text = F.col("transcription.text")
-    return table(spark, d, "audiobook").select("source_id", P.shouting(text).alias("shouting"), P.repeated_word(text).alias("repeated"))
+    text = F.col("text")
+    return table(spark, d, "audioseg").select("seg_id", P.shouting(text).alias("shouting"), P.repeated_word(text, 3).alias("repeated")).distinct()
 
 
 @query("""select doc_id, case when regexp_matches(file_path, 'questions?_[0-9]') then regexp_extract(file_path, 'questions?_(.)', 1)::int + 10
@@ -238,10 +238,8 @@ def cosine_topk(spark, d):
   w as (select seg_id, generate_subscripts(w, 1) - 1 as pos, unnest(w) as x from u), p as (select seg_id, generate_subscripts(p, 1) - 1 as pos, unnest(p) as x from u)
   select distinct p.seg_id, p.pos as inner_pos, w.pos as outer_pos from p join w on p.seg_id = w.seg_id and p.x."begin" >= w.x."begin" and p.x."end" <= w.x."end" """)
 def interval_containment(spark, d):
-    s = table(spark, d, "audioseg").select("seg_id", "ts_by_words", F.flatten("ts_by_phonemes").alias("ts_by_phonemes")).distinct()
-    tall = lambda c: s.select("seg_id", F.posexplode(c).alias("pos", "x")).select("seg_id", "pos", "x.begin", "x.end")
-    out = J.contained(tall("ts_by_phonemes"), tall("ts_by_words"), "seg_id")
-    return out.select("seg_id", F.col("inner_pos").cast("bigint").alias("inner_pos"), F.col("outer_pos").cast("bigint").alias("outer_pos"))
+    s = table(spark, d, "audioseg").select("seg_id", F.explode(J.inside(F.flatten("ts_by_phonemes"), F.col("ts_by_words"))).alias("p"))
+    return s.select("seg_id", F.col("p.inner_pos").cast("bigint").alias("inner_pos"), F.col("p.outer_pos").cast("bigint").alias("outer_pos")).distinct()
 
 
 @query()
@@ -324,10 +322,11 @@ def speaker_average_default(spark, d):
     return A.average_or_default(table(spark, d, "events").withColumn("value", F.col("value").cast("decimal(18,2)").cast("double")), "user_id", "value", 0.5, 8)
 
 
-@query("""select l_orderkey, l_returnflag, round(avg(l_extendedprice), 8) as mean, round(median(l_extendedprice), 8) as median, round(max(l_extendedprice) - min(l_extendedprice), 8) as span,
-  round(arg_max(l_extendedprice, (l_linenumber, l_partkey, l_suppkey)) - arg_min(l_extendedprice, (l_linenumber, l_partkey, l_suppkey)), 8) as diff from lineitem group by 1, 2""")
+@query("""with d as (select *, x - lag(x) over w as d1, (x - lag(x) over w) - (lag(x) over w - lag(x, 2) over w) as d2 from (select *, l_extendedprice as x from lineitem) window w as (partition by l_orderkey, l_returnflag order by l_linenumber, l_partkey, l_suppkey))
+  select l_orderkey, l_returnflag, round(avg(x), 6) as mean, round(median(x), 6) as median, round(max(x), 6) as max, round(min(x), 6) as min, round(max(x) - min(x), 6) as span,
+  round(case when count(*) > 2 then avg(d1) else 0 end, 6) as diff, round(case when count(*) > 3 then avg(d2) else 0 end, 6) as bend from d group by 1, 2""")
 def segment_stats(spark, d):
-    return A.segments(table(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], "l_extendedprice", F.struct("l_linenumber", "l_partkey", "l_suppkey"), 8)
+    return A.segments(table(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], "l_extendedprice", ["l_linenumber", "l_partkey", "l_suppkey"], 6)
 
 
 @query("""with s as (select user_id, avg(value) as m, stddev_pop(value) as s from events group by 1)
@@ -385,7 +384,10 @@ def merged_ids(spark, d):
 
 @query("select lang, median(n_chars) as median_len, count(*) filter (n_chars < 500) as short, count(*) filter (n_chars >= 500) as long from documents group by 1")
 def length_stats(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.median("n_chars").alias("median_len"), F.count_if(F.col("n_chars") < 500).alias("short"), F.count_if(F.col("n_chars") >= 500).alias("long"))
+    docs = table(spark, d, "documents")
+    middle = A.quantiles(docs, ["lang"], "n_chars", [0.5]).select(F.col("lang").alias("_l"), F.col("q")[0].alias("median_len"))
+    n = docs.groupBy("lang").agg(F.count_if(F.col("n_chars") < 500).alias("short"), F.count_if(F.col("n_chars") >= 500).alias("long"))
+    return n.join(middle, n["lang"].eqNullSafe(F.col("_l")), "left").select("lang", "median_len", "short", "long")
 
 
 # order, sets and windows
@@ -437,7 +439,7 @@ def prev_next_context(spark, d):
 @query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, s - l_quantity as begin, s as \"end\" from (select *, sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding) as s from lineitem)")
 def cum_bounds(spark, d):
     li = table(spark, d, "lineitem")
-    s = celled.running_sum(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.floor(F.col("l_linenumber") / 4), F.col("l_quantity"), "s")
+    s = celled.running_sum(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.floor(F.col("l_linenumber") / 4), F.col("l_quantity"), "s", most=100_000)
     return s.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("s") - F.col("l_quantity")).alias("begin"), F.col("s").alias("end"))
 
 
