@@ -101,6 +101,12 @@ def resample(a: Column, n: Column) -> Column:
     return F.transform(indices(n), lambda i: lerp(a, i * scale))
 
 
+def smoothed(a: Column, reach: int = 2) -> Column:
+    """Mean of each value and so many on both sides, around the ends."""
+    at = lambda i: F.get(a, F.pmod(i, F.size(a)))
+    return F.transform(indices(F.size(a)), lambda i: sum((at(i + k) for k in range(-reach + 1, reach + 1)), at(i - reach)) / (2 * reach + 1))
+
+
 def fade_curve(n: Column) -> Column:
     """Log-spaced fade-in of n steps: 10^(4 (-1 + 2 i / (n-1))) / 10^4."""
     return F.transform(indices(n), lambda i: F.pow(F.lit(10.0), 4 * (-1 + F.when(n > 1, 2 * i / (n - 1)).otherwise(F.lit(2.0)))) / 1e4)

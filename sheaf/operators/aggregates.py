@@ -10,6 +10,7 @@ group without valid values has null statistics; empty tables give no rows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,6 +185,39 @@ def equal_error_rate(df: DataFrame, score: str, positive: Column, bins: int = 10
     return best.select((F.col("x.bin") / bins).alias("threshold"), F.round((F.col("x.fnr") + F.col("x.fpr")) / 2, 8).alias("eer"))
 
 
+def ranked_rates(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
+    """(keys, auc, eer, threshold) of a score in [0, 1], over all its values as thresholds: the area under the curve, ties
+    counting half, and the error rate where false rejections and acceptances balance, at the highest such threshold.
+    Counts per score are summed up over cells of the score. A key without both kinds has null rates."""
+    from . import celled
+
+    rows = df.where(F.col(score).isNotNull() & positive.isNotNull()).select(*keys, F.col(score).cast("double").alias("_s"), positive.cast("bigint").alias("_p"))
+    n = rows.groupBy(*keys, "_s").agg(F.sum("_p").alias("_pos"), F.sum(1 - F.col("_p")).alias("_neg"))
+    cell = F.floor(F.col("_s") * 64)
+    c = celled.running_sum(celled.running_sum(n, keys, ["_s"], cell, F.col("_pos"), "_cp"), keys, ["_s"], cell, F.col("_neg"), "_cn")
+    totals = n.groupBy(*keys).agg(F.sum("_pos").alias("_np"), F.sum("_neg").alias("_nn"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    x = c.alias("a").join(F.broadcast(totals).alias("b") if not keys else totals.alias("b"), on).select("a.*", "b._np", "b._nn")
+    fnr, fpr = F.try_divide(F.col("_cp") - F.col("_pos"), F.col("_np")), F.try_divide(F.col("_nn") - F.col("_cn") + F.col("_neg"), F.col("_nn"))
+    best = F.min_by(F.struct(((fnr + fpr) / 2).alias("eer"), F.col("_s").alias("threshold")), F.struct(F.round(F.abs(fnr - fpr), 12), -F.col("_s")))
+    area = F.sum(F.col("_pos") * (F.col("_cn") - F.col("_neg") + F.col("_neg") / 2)) / F.first(F.col("_np") * F.col("_nn"))
+    out = x.groupBy(*keys).agg(F.when((F.first("_np") > 0) & (F.first("_nn") > 0), area).alias("auc"), best.alias("_b"))
+    return out.select(*keys, "auc", *(F.when(F.col("auc").isNotNull(), F.col(f"_b.{k}")).alias(k) for k in ("eer", "threshold")))
+
+
+def pairwise_rates(df: DataFrame, truth: str, scores: str, classes: int) -> DataFrame:
+    """Of an array of scores per class: (auc, eer), each the mean over all ordered pairs of classes that both occur, of the
+    rows of the two classes, ranked by the score of the first."""
+    rows = df.where(F.col(truth).between(0, classes - 1)).select(F.col(truth).cast("int").alias("t"), F.col(scores).alias("s"))
+    rows = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(classes - 1)))).where("c <> t")
+    own = F.struct(F.col("t").alias("a"), F.col("c").alias("b"), F.get("s", F.col("t")).alias("score"), F.lit(True).alias("yes"))
+    other = F.struct(F.col("c").alias("a"), F.col("t").alias("b"), F.get("s", F.col("c")).alias("score"), F.lit(False).alias("yes"))
+    pairs = rows.select(F.inline(F.array(own, other)))
+    return ranked_rates(pairs, ["a", "b"], "score", F.col("yes")).agg(F.avg("auc").alias("auc"), F.avg("eer").alias("eer"))
+
+
 def profile(df: DataFrame, name: str, pid: str, time: str, digits: int = 8) -> DataFrame:
     """Calls and mean time by name and process."""
     return df.groupBy(name, pid).agg(F.count(F.lit(1)).alias("calls"), F.round(F.avg(time), digits).alias("mean_time"), F.round(F.max(time), digits).alias("max_time"))
@@ -213,6 +247,47 @@ def mean_of_draws(df: DataFrame, key: str, uid: str, vector: str, k: int, seed:
     return mean_vector(draws.select(key, "_draw", "_pos").join(rows, [key, "_pos"]), key, vector)
 
 
+def linked(x: np.ndarray, k: int) -> np.ndarray:
+    """Labels of k clusters of few vectors by complete linkage: again and again the two clusters are joined whose farthest
+    members are nearest. Each cluster follows its nearest one until two point at each other."""
+    n = len(x)
+    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0)) if n < 500 else np.stack([np.sqrt(((x - y) ** 2).sum(1)) for y in x])
+    np.fill_diagonal(d, np.inf)
+    joins: list[tuple[float, int, int]] = []
+    live, chain = np.ones(n, bool), []
+    while len(joins) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(live)[0])]
+        near = int(d[chain[-1]].argmin())
+        if len(chain) > 1 and d[chain[-1], chain[-2]] <= d[chain[-1], near]:
+            b, a = chain.pop(), chain.pop()
+            joins.append((float(d[a, b]), a, b))
+            d[a] = np.maximum(d[a], d[b])
+            d[:, a] = d[a]
+            d[a, a] = np.inf
+            d[b] = d[:, b] = np.inf
+            live[b] = False
+        else:
+            chain.append(near)
+    of = np.arange(n)
+    for _, a, b in sorted(joins, key=lambda j: j[0])[: max(0, n - k)]:
+        of[of == of[b]] = of[a]
+    return np.unique(of, return_inverse=True)[1]
+
+
+def linkage_clusters(df: DataFrame, uid: str, vector: str, k: int, sample: int = 2000) -> DataFrame:
+    """Cluster of each vector (uid, cluster): `sample` vectors, the first by a hash of the id, are put into k clusters by
+    complete linkage, and every vector takes the cluster of the nearest of them. sample is a bound, not a share."""
+    from . import joins
+
+    some = df.where(F.col(vector).isNotNull()).select(uid, F.col(vector).cast("array<double>").alias("_v"))
+    picked = some.withColumn("_h", F.xxhash64(uid)).orderBy("_h", uid).limit(sample).collect()
+    labels = linked(np.array([r["_v"] for r in picked], float), k) if picked else []
+    names = df.sparkSession.createDataFrame([(i, int(c), r["_v"]) for i, (c, r) in enumerate(zip(labels, picked))], "name bigint, cluster int, centre array<double>")
+    found = joins.nearest(some, "_v", names.select("name", "centre"))
+    return found.join(F.broadcast(names.select(F.col("name").alias("nearest"), "cluster")), "nearest").select(uid, "cluster")
+
+
 def clusters(df: DataFrame, uid: str, vector: str, k: int, seed: int = 0, soft: bool = False) -> DataFrame:
     """Cluster of each vector (uid, cluster), by bisecting k-means or, soft, a Gaussian mixture; both are distributed."""
     from pyspark.ml.clustering import BisectingKMeans, GaussianMixture

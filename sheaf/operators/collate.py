@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def padded(df: DataFrame, batch: str, values: str, pad: float = 0.0, multiple: int = 1) -> DataFrame:
+def padded(df: DataFrame, batch: str, values: str, pad: float | Column = 0.0, multiple: int = 1) -> DataFrame:
     """The array column padded to the longest of its batch, up to a multiple; with columns length and relative_length.
 
     The longest is found by a group-by that combines on the map side and is joined back."""
@@ -22,11 +22,21 @@ def padded(df: DataFrame, batch: str, values: str, pad: float = 0.0, multiple: i
     target = (F.ceil(F.col("_m") / multiple) * multiple).cast("int")
     kind = df.schema[values].dataType.elementType
     out = df.join(longest, batch).withColumn("length", n).withColumn("_t", target)
-    fill = F.array_repeat(F.lit(pad).cast(kind), (F.col("_t") - F.col("length")).cast("int"))
+    fill = F.array_repeat((pad if isinstance(pad, Column) else F.lit(pad)).cast(kind), (F.col("_t") - F.col("length")).cast("int"))
     out = out.withColumn(values, F.concat(F.coalesce(F.col(values), F.array().cast(df.schema[values].dataType)), fill))
     return out.withColumn("relative_length", F.try_divide(F.col("length").cast("double"), F.col("_t"))).drop("_m", "_t")
 
 
+def padded_frames(df: DataFrame, batch: str, values: str, shape: tuple[int, ...], pad: float = 0.0, multiple: int = 1) -> DataFrame:
+    """An array of frames padded to the longest of its batch, as padded does: frames of the given shape, (channels) for
+    two dimensions or (width, height) for three, full of the padding value."""
+    kind = df.schema[values].dataType.elementType
+    frame = F.lit(pad)
+    for n in reversed(shape):
+        frame = F.array_repeat(frame, n)
+    return padded(df, batch, values, frame.cast(kind), multiple)
+
+
 def tall(df: DataFrame, keys: list[str], values: str) -> DataFrame:
     """(keys, idx, value, is_pad) of a padded column."""
     return df.select(*keys, "length", F.posexplode(values).alias("idx", "value")).withColumn("is_pad", F.col("idx") >= F.col("length")).drop("length")

@@ -10,6 +10,7 @@ steps are repeatable by seed and key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -148,6 +149,45 @@ def normalized(values: Column, low: Column, high: Column) -> Column:
     return F.transform(values, lambda x: F.try_divide(x - low, high - low))
 
 
+def near_mean(values: Column, m: float = 2.0) -> Column:
+    """The values nearer to their mean than m population deviations."""
+
+    def kept(mean: Column) -> Column:
+        spread = F.sqrt(N.array_mean(F.transform(values, lambda x: (x - mean) * (x - mean))))
+        return N.let(spread, lambda s: F.filter(values, lambda x: F.abs(x - mean) < m * s))
+
+    return N.let(N.array_mean(values), kept)
+
+
+def quantile(values: Column, q: float) -> Column:
+    """Linearly interpolated quantile of an array; null if it is empty."""
+    return F.when(F.size(values) > 0, N.lerp(F.array_sort(values), (F.size(values) - 1) * F.lit(q)))
+
+
+def sample_normalized(values: Column, method: str = "minmax", q: float = 0.95, outliers: bool = True, low: float | None = None, high: float | None = None) -> Column:
+    """Values normalised by their own sample: minmax, quantile (1 - q to q) or z-norm (mean and four deviations). outliers
+    false: bounds, mean and deviation without the values far from the mean. low and high replace the bounds of minmax and
+    quantile; for z-norm they bound the values that count. A sample that varies too little (bounds nearer than 1, mean
+    or variance below 1) gives null."""
+
+    def scaled_by(v: Column) -> Column:
+        if method == "z-norm":
+            some = v if low is None else F.filter(v, lambda x: x >= low)
+            some = some if high is None else F.filter(some, lambda x: x <= high)
+            mean = N.array_mean(some)
+            var = N.let(mean, lambda m: N.array_mean(F.transform(some, lambda x: (x - m) * (x - m))))
+            pair = F.struct(mean.alias("a"), (4 * F.sqrt(var)).alias("b"))
+            return N.let(pair, lambda p: F.when((p["a"] >= 1) & (p["b"] >= 4), F.transform(values, lambda x: (x - p["a"]) / p["b"])))
+        if method not in ("minmax", "quantile"):
+            raise ValueError(f"no method {method}")
+        a, b = (F.array_min(v), F.array_max(v)) if method == "minmax" else (quantile(v, 1 - q), quantile(v, q))
+        new = lambda c, given: c if given is None else F.lit(given)
+        pair = F.struct(a.alias("a"), b.alias("b"))
+        return N.let(pair, lambda p: F.when(F.abs(p["b"] - p["a"]) >= 1, normalized(values, new(p["a"], low), new(p["b"], high))))
+
+    return N.let(values if outliers else near_mean(values), scaled_by)
+
+
 def mixed(wave: Column, noise: Column, snr: float) -> Column:
     """The wave with noise at a signal-to-noise ratio in dB; noise is repeated or cut to the length of the wave."""
     at = lambda i: F.get(noise, F.pmod(i, F.size(noise)))
@@ -223,48 +263,55 @@ def istft(s: np.ndarray, size: int, hop: int, length: int) -> np.ndarray:
     return out[size // 2 : size // 2 + length]
 
 
-def mel_basis(bins: int, rate: float, bands: int) -> np.ndarray:
-    """Triangular filters evenly spaced on the mel scale, area-normalised."""
-    to = lambda f: 2595 * np.log10(1 + f / 700)
-    back = lambda m: 700 * (10 ** (m / 2595) - 1)
-    edges = back(np.linspace(0, to(rate / 2), bands + 2))
+def mels(f: np.ndarray | float, htk: bool = False) -> np.ndarray:
+    """Mel of a frequency. By default straight up to 1000 Hz, 15 mels, and logarithmic beyond, 27 mels for a factor 6.4
+    (fixed values); htk: 2595 log10(1 + f / 700)."""
+    f = np.asarray(f, float)
+    return 2595 * np.log10(1 + f / 700) if htk else np.where(f < 1000, 3 * f / 200, 15 + 27 * np.log(np.maximum(f, 1000) / 1000) / np.log(6.4))
+
+
+def hertz(m: np.ndarray, htk: bool = False) -> np.ndarray:
+    """Frequency of a mel."""
+    return 700 * (10 ** (m / 2595) - 1) if htk else np.where(m < 15, 200 * m / 3, 1000 * np.exp(np.log(6.4) * (m - 15) / 27))
+
+
+def mel_basis(bins: int, rate: float, bands: int, low: float = 0.0, high: float | None = None, htk: bool = False) -> np.ndarray:
+    """Triangular filters evenly spaced on the mel scale between two frequencies, area-normalised."""
+    edges = hertz(np.linspace(mels(low, htk), mels(high or rate / 2, htk), bands + 2), htk)
     f = np.linspace(0, rate / 2, bins)
     up = (f - edges[:-2, None]) / np.maximum(edges[1:-1, None] - edges[:-2, None], 1e-9)
     down = (edges[2:, None] - f) / np.maximum(edges[2:, None] - edges[1:-1, None], 1e-9)
     return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
 
 
-def mel_(s: np.ndarray, rate: float, bands: int) -> np.ndarray:
-    return s @ mel_basis(s.shape[1], rate, int(bands)).T
+def mel_(s: np.ndarray, rate: float, bands: int, low: float = 0.0, high: float = 0.0, htk: bool = False) -> np.ndarray:
+    """Bands of a magnitude spectrogram; high 0: half the rate."""
+    return s @ mel_basis(s.shape[1], rate, int(bands), low, high, htk).T
 
 
 def mel_inverse_(m: np.ndarray, rate: float, bins: int) -> np.ndarray:
     return np.maximum(0, m @ np.linalg.pinv(mel_basis(int(bins), rate, m.shape[1])).T)
 
 
-def pitch_(x: np.ndarray, rate: float, size: int = 1024, hop: int = 256, low: float = 60.0, high: float = 500.0, limit: float = 0.15) -> np.ndarray:
-    """Fundamental frequency by the cumulative mean normalised difference; 0 where no period is clear."""
-    frames = framed(x, int(size), int(hop))
-    half = int(size) // 2
-    most = min(half, int(rate / low) + 1)
-    d = np.stack([((frames[:, :half] - frames[:, t : t + half]) ** 2).sum(1) for t in range(most)], 1)
-    c = np.cumsum(d[:, 1:], 1)
-    norm = np.ones_like(d)
-    norm[:, 1:] = d[:, 1:] * np.arange(1, most) / np.maximum(c, 1e-12)
-    least = max(2, int(rate / high))
+def pitch_(x: np.ndarray, rate: float, size: int = 512, hop: int = 256, low: float = 100.0, high: float = 500.0, limit: float = 0.1) -> np.ndarray:
+    """Fundamental frequency by the cumulative mean normalised difference over whole frames, in whole samples; 0 where it
+    stays over the limit or the frame has no positive sample. Zeros stand before and after the wave."""
+    size, hop = int(size), int(hop)
+    x = np.pad(x, size // 2 + 1)
+    frames = np.lib.stride_tricks.sliding_window_view(x, size)[: max(0, len(x) - size) : hop]
+    least, most = int(rate / high), min(int(rate / low), size)
     out = np.zeros(len(frames))
-    for i, row in enumerate(norm):
-        ok = np.flatnonzero(row[least:] < limit)
-        if not len(ok):
-            continue
-        t = least + int(ok[0])
-        while t + 1 < most and row[t + 1] < row[t]:
-            t += 1
-        shift = 0.0
-        if 0 < t < most - 1:
-            a, b, e = row[t - 1], row[t], row[t + 1]
-            shift = 0.5 * (a - e) / (a - 2 * b + e) if a - 2 * b + e else 0.0
-        out[i] = rate / (t + shift)
+    if not len(frames) or most < 2:
+        return out
+    d = np.stack([((frames[:, : size - t] - frames[:, t:]) ** 2).sum(1) for t in range(most)], 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        norm = np.concatenate([np.ones((len(d), 1)), d[:, 1:] * np.arange(1, most) / np.cumsum(d[:, 1:], 1)], 1)
+    clear = norm[:, least:] < limit
+    rise = np.concatenate([norm[:, 1:] >= norm[:, :-1], np.ones((len(norm), 1), bool)], 1) | ~np.isfinite(norm)
+    for i in np.flatnonzero(clear.any(1) & (frames.max(1) > 0)):
+        first = least + int(clear[i].argmax())  # down to the next minimum
+        t = first + int(rise[i, first:].argmax())
+        out[i] = rate / t if t else 0.0
     return out
 
 
@@ -306,9 +353,45 @@ def wavelet_(x: np.ndarray, scales: list) -> np.ndarray:
     return np.array(out)
 
 
-def noise_level_(x: np.ndarray, size: int = 256) -> float:
-    """Log energy of the loudest window."""
-    return float(np.log(np.maximum((framed(x, int(size), int(size) // 2, False) ** 2).mean(1).max(), 1e-10)))
+#: Level of silence, in dB, and least frequency that counts in the loudest spectrum.
+SILENCE, NOISE_FROM = -100.0, 1000
+
+
+def decibels(power: np.ndarray | float) -> np.ndarray:
+    """Power in dB; what is below 1e-10 counts as that, and at most 80 dB below the loudest."""
+    x = 10 * np.log10(np.maximum(power, 1e-10))
+    return np.maximum(x, x.max() - 80)
+
+
+LEVELS = ("log_magnitude", "log_energy", "log_peak", "win_max_magnitude", "stft_max_magnitude")
+
+
+def level(x: np.ndarray, kind: str = "stft_max_magnitude", size: int = 1024, rate: int = 22050) -> float:
+    """Level of a noise in dB, at least that of silence: of its mean power, energy or peak, of its loudest window, or of
+    the loudest frame of its spectrum from NOISE_FROM on (magnitudes added up)."""
+    if kind not in LEVELS:
+        raise ValueError(f"no level {kind}")
+    if not len(x) or not np.abs(x).max():
+        return SILENCE
+    if kind == "stft_max_magnitude":
+        mirrored = np.pad(x, size // 2)  # zeros beyond the ends
+        frames = np.lib.stride_tricks.sliding_window_view(mirrored, size)[:: size // 4]
+        part = np.abs(np.fft.rfft(frames * hann(size), axis=1))[:, size * NOISE_FROM // rate :]
+        return max(float(decibels(part.sum(1) ** 2).max()), SILENCE)
+    if kind == "win_max_magnitude" and len(x) >= size:
+        starts = np.arange(len(x) // size * 4) * size // 4
+        return max(float(max(level(x[a : a + size], "log_magnitude") for a in starts)), SILENCE)
+    power = {"log_energy": np.sum, "log_peak": np.max}.get(kind, np.mean)(x**2)
+    return max(float(decibels(np.array([power]))[0]), SILENCE)
+
+
+def noise_level_(x: np.ndarray, kind: str = "stft_max_magnitude", size: int = 1024, scale: float = 10.0) -> float:
+    """The level of a noise, in tens of dB."""
+    return level(x, kind, int(size)) / scale
+
+
+def is_breath_(x: np.ndarray, cap: float = 24.0, kind: str = "stft_max_magnitude", size: int = 1024) -> bool:
+    return level(x, kind, int(size)) > cap
 
 
 def coloured_noise(n: int, decay: float, seed: int) -> np.ndarray:
@@ -372,6 +455,8 @@ pitch = kernel(pitch_, VECTOR)
 lpc = kernel(lpc_, MATRIX)
 envelope = kernel(envelope_, MATRIX)
 noise_level = kernel(noise_level_, T.DoubleType())
+is_breath = kernel(is_breath_, T.BooleanType())
+block_mask = kernel(lambda s, share, width, seed: block_masked(s, float(share), int(width), int(seed)), MATRIX)
 convolved = kernel(convolved_, VECTOR)
 warped = kernel(warped_, MATRIX)
 enhanced = kernel(enhanced_, VECTOR)
@@ -437,12 +522,19 @@ def gap_margins_cleared_(x: np.ndarray, gap: int = 20, width: int = 8) -> np.nda
 
 
 def curvature_(x: np.ndarray) -> np.ndarray:
-    """Angles of the lines from first to middle and from middle to last value of a segment, and between them."""
-    m = len(x) // 2
-    a = np.arctan2(x[m] - x[0], max(m, 1))
-    b = np.arctan2(x[-1] - x[m], max(len(x) - 1 - m, 1))
-    turn = b - a
-    return np.array([a, b, turn - 2 * np.pi if turn > np.pi else turn + 2 * np.pi if turn < -np.pi else turn])
+    """Angles, at the first and the last value of a segment, between the level and the line to a point in its middle: the
+    median of the inner values, where the inner value of the middle rank stands. Zeros for one value and for sums below
+    0.5. At the last value the level points back, and its line goes by places from 1."""
+    n = len(x)
+    if n == 1 or x.sum() < 0.5:
+        return np.zeros(2)
+    inner = x[1:-1]
+    at, middle = (1 + int(np.argsort(inner)[len(inner) // 2]), float(np.median(inner))) if n > 2 else (n, float(x[-1]))
+    first = -math.atan2(middle - x[0], at)
+    if n == 2:
+        return np.array([first, first])
+    last = math.pi - math.atan2(middle - x[-1], at - n)
+    return np.array([first, last - 2 * math.pi if last > math.pi else last])
 
 
 def contour_(x: np.ndarray, points: int = 80, edge: int = 10) -> np.ndarray:

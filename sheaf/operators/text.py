@@ -84,6 +84,17 @@ def modifiers(values: Column, lengths: Column, low: float = 0.1, high: float = 2
     return F.flatten(F.zip_with(factors, lengths, lambda f, n: F.array_repeat(f, n.cast("int"))))
 
 
+def rate_modifiers(rates: Column, burrs: Column, lengths: Column, units: Column, low: float = 0.1, high: float = 2.0) -> Column:
+    """Factors of duration per unit: the inverse of the rate, times the inverse of the burr for units that can have one."""
+    can = lambda u: F.coalesce(u.isin(*BURR), F.lit(False))
+    burr = F.zip_with(modifiers(burrs, lengths, low, high), units, lambda b, u: F.when(can(u), b).otherwise(1.0))
+    return F.zip_with(modifiers(rates, lengths, low, high), burr, lambda r, b: 1 / (r * b))
+
+
+#: Sounds that a burr changes.
+BURR = ("R", "R0", "P", "P0", "K", "K0")
+
+
 def joined_sentences(parts: Column) -> Column:
     """Sentences joined by commas, their final stops dropped."""
     return F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, r"[.!?…]+\s*$", "")), ", ")

@@ -365,6 +365,14 @@ def eer(spark, d):
     return A.equal_error_rate(table(spark, d, "lineitem").withColumn("score", F.col("l_quantity") / 50), "score", F.col("l_tax") > 0.04)
 
 
+@query("""with s as (select l_returnflag as k, l_quantity / 50 as s, (l_tax > 0.04)::int as p from lineitem), c as (select k, s, sum(p) as pos, sum(1 - p) as neg from s group by 1, 2),
+  r as (select *, coalesce(sum(pos) over (partition by k order by s rows between unbounded preceding and 1 preceding), 0) as bp, coalesce(sum(neg) over (partition by k order by s rows between unbounded preceding and 1 preceding), 0) as bn, sum(pos) over (partition by k) as np, sum(neg) over (partition by k) as nn from c),
+  e as (select *, bp / np as fnr, (nn - bn) / nn as fpr from r) select k as l_returnflag, round(sum(pos * (bn + neg / 2)) / max(np * nn), 8) as auc, round(arg_min((fnr + fpr) / 2, (round(abs(fnr - fpr), 12), -s)), 8) as eer, arg_min(s, (round(abs(fnr - fpr), 12), -s)) as threshold from e group by 1""")
+def ranked_rates(spark, d):
+    r = A.ranked_rates(table(spark, d, "lineitem").withColumn("score", F.col("l_quantity") / 50), ["l_returnflag"], "score", F.col("l_tax") > 0.04)
+    return r.select("l_returnflag", F.round("auc", 8).alias("auc"), F.round("eer", 8).alias("eer"), "threshold")
+
+
 @query("select event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) <= 5")
 def contour_cap(spark, d):
     return A.capped(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], 5).select("event_id")

@@ -314,12 +314,21 @@ def class_freq_matrix(spark, d):
     return samplers.tag_matrix(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", ["A", "N", "R"])
 
 
-@query()
+def _draws_sql(rows: str, size: int, seed: int) -> str:
+    """Draws by weight: the row in whose stretch of the running sum the number of the draw falls."""
+    return f"""select draw, doc_id from (select range as draw, ('0x' || left(md5('{seed}:' || range), 13))::bigint / 4503599627370496::double as u from range({size})) d asof join
+  (select doc_id, (sum(w) over (order by doc_id) - w)::double / (sum(w) over ())::double as at from (select doc_id, (w)::decimal(38,18) as w from ({rows})) where w > 0) c on d.u >= c.at"""
+
+
+@query(_draws_sql("select doc_id, coalesce(n_chars, 0) as w from documents", 5000, 11))
 def weighted_epoch(spark, d):
     return samplers.weighted_epoch(table(spark, d, "documents"), "doc_id", F.coalesce(F.col("n_chars"), F.lit(0)), 5000, 11)
 
 
-@query()
+_LANG = "select doc_id, n.w from documents d join (select lang, round(1 / (count(*) * (select count(distinct coalesce(lang, chr(1))) from documents)), 10) as w from documents group by 1) n on d.lang is not distinct from n.lang"
+
+
+@query(f"select 'lang' as criterion, * from ({_draws_sql(_LANG, 2400, 0)}) union all select 'uid', * from ({_draws_sql('select doc_id, 1.0 as w from documents', 1600, 1)})")
 def multi_criteria_epoch(spark, d):
     docs = table(spark, d, "documents")
     w = samplers.idf_weights(docs, "lang").select("lang", "weight")
@@ -402,8 +411,7 @@ def frame_energy(spark, d):
 
 @query("""select vec_id, i, round((v[i + 1] + v[(i + 1) % 64 + 1] + v[(i + 2) % 64 + 1] + v[(i + 63) % 64 + 1] + v[(i + 62) % 64 + 1]) / 5, 8) as x from (select vec_id, list_transform(embedding, lambda y: y::double) as v, unnest(range(64)) as i from embeddings)""")
 def smooth5(spark, d):
-    at = lambda i: F.get("v", F.pmod(i, F.size("v")))
-    s = F.transform(N.indices(F.size("v")), lambda i: (at(i - 2) + at(i - 1) + at(i) + at(i + 1) + at(i + 2)) / 5)
+    s = N.smoothed(F.col("v"))
     z = vectors(spark, d).select("vec_id", F.posexplode(s).alias("i", "x"))
     return z.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("x", 8).alias("x"))
 
@@ -429,12 +437,21 @@ def zero_interpolate(spark, d):
 
 @query()
 def mel_frames(spark, d):
-    return vectors(spark, d).select("vec_id", S.mel(S.magnitude("v", F.lit(32), F.lit(8)), F.lit(22050.0), F.lit(8)).alias("m")).select("vec_id", F.size("m").alias("frames"), F.round(N.array_sum(F.flatten("m")), 6).alias("total"))
+    m = vectors(spark, d).select("vec_id", F.posexplode(S.mel(S.magnitude("v", F.lit(32), F.lit(8)), F.lit(22050.0), F.lit(8))).alias("frame", "m"))
+    return m.select("vec_id", "frame", F.posexplode("m").alias("band", "value"))
 
 
 @query()
 def pitch_track(spark, d):
-    return vectors(spark, d).select("vec_id", S.pitch("v", F.lit(1000.0), F.lit(64), F.lit(16)).alias("p")).select("vec_id", F.size("p").alias("frames"))
+    return vectors(spark, d).select("vec_id", F.posexplode(S.pitch("v", F.lit(1000.0), F.lit(32), F.lit(16))).alias("frame", "hertz"))
+
+
+@query("""with f as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), s as (select vec_id, v, list_sum(v) / len(v) as m from f), z as (select *, list_sum(list_transform(v, lambda x: (x - m) * (x - m))) / len(v) as var from s)
+  select vec_id, round(list_max(v), 8) as peak, round(10 * log10(greatest(list_max(list_transform(v, lambda x: x * x)), 1e-10)) / 10, 6) as level, round(list_max(list_transform(v, lambda x: (20 * x + 50 - (20 * m + 50)) / (4 * sqrt(400 * var)))), 8) as top from z""")
+def sample_levels(spark, d):
+    v = vectors(spark, d).withColumn("w", F.transform("v", lambda x: 20 * x + 50))
+    z = S.sample_normalized(F.col("w"), "z-norm")
+    return v.select("vec_id", F.round(F.array_max("v"), 8).alias("peak"), F.round(S.noise_level("v", F.lit("log_peak")), 6).alias("level"), F.round(F.array_max(z), 8).alias("top"))
 
 
 # extensions: not in the plan of operators, but useful over event tables
