@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL = "_cell"
+CELL = "_celled_cell"
 
 
 def thousands(cell: Column) -> Column:
@@ -24,7 +24,7 @@ def thousands(cell: Column) -> Column:
 
 
 def carried(df: DataFrame, keys: list[str], summary: Column, kind: str, reverse: bool = False, upper: Callable[[Column], Column] | None = None) -> DataFrame:
-    """df, which has the column CELL, with _carry: the summaries of all earlier (later) cells folded into one.
+    """df, which has the column CELL, with _celled_carry: the summaries of all earlier (later) cells folded into one.
 
     kind: sum; last, the nearest summary; known, the nearest that is not null. upper gives a coarser cell of a cell in
     the same order: the cells are then folded within the coarser ones, and these by one row each, so that neither step
@@ -35,7 +35,7 @@ def carried(df: DataFrame, keys: list[str], summary: Column, kind: str, reverse:
     if upper is not None:
         cells = cells.withColumn("_u", upper(F.col(CELL)))
     within = Window.partitionBy(*keys, *(["_u"] if upper is not None else [])).orderBy(order(CELL)).rowsBetween(Window.unboundedPreceding, -1)
-    folded = cells.withColumn("_carry", fold("_s").over(within))
+    folded = cells.withColumn("_celled_carry", fold("_s").over(within))
 
     def same(names: list[str]) -> Column:
         on = F.lit(True)
@@ -48,9 +48,9 @@ def carried(df: DataFrame, keys: list[str], summary: Column, kind: str, reverse:
         whole = F.sum("_s") if kind == "sum" else last("_s", F.when(F.col("_s").isNotNull(), F.col(CELL)))
         over = Window.partitionBy(*keys).orderBy(order("_u")).rowsBetween(Window.unboundedPreceding, -1)
         tops = cells.groupBy(*keys, "_u").agg(whole.alias("_s")).withColumn("_above", (F.sum if kind == "sum" else lambda c: F.last(c, ignorenulls=True))("_s").over(over))
-        both = F.coalesce(F.col("_l._carry") + F.col("_r._above"), "_l._carry", "_r._above") if kind == "sum" else F.coalesce("_l._carry", "_r._above")
-        folded = folded.alias("_l").join(tops.alias("_r"), same([*keys, "_u"])).select(*(F.col(f"_l.{k}") for k in [*keys, CELL]), both.alias("_carry"))
-    return df.alias("_l").join(folded.alias("_r"), same([*keys, CELL])).select("_l.*", "_r._carry")
+        both = F.coalesce(F.col("_l._celled_carry") + F.col("_r._above"), "_l._celled_carry", "_r._above") if kind == "sum" else F.coalesce("_l._celled_carry", "_r._above")
+        folded = folded.alias("_l").join(tops.alias("_r"), same([*keys, "_u"])).select(*(F.col(f"_l.{k}") for k in [*keys, CELL]), both.alias("_celled_carry"))
+    return df.alias("_l").join(folded.alias("_r"), same([*keys, CELL])).select("_l.*", "_r._celled_carry")
 
 
 def even(df: DataFrame, keys: list[str], most: int) -> bool:
@@ -66,8 +66,8 @@ def lag(df: DataFrame, keys: list[str], order: list[str], cell: Column, values:
     rows = carried(df.withColumn(CELL, cell), keys, edge, "last", reverse, upper)
     w = Window.partitionBy(*keys, CELL).orderBy(*order)
     near = (F.lead if reverse else F.lag)(whole).over(w)
-    out = rows.withColumn("_near", F.coalesce(near, F.col("_carry")))
-    return out.select(*df.columns, *(F.col(f"_near.{n}").alias(n) for n in values))
+    out = rows.withColumn("_celled_near", F.coalesce(near, F.col("_celled_carry")))
+    return out.select(*df.columns, *(F.col(f"_celled_near.{n}").alias(n) for n in values))
 
 
 def lead(df: DataFrame, keys: list[str], order: list[str], cell: Column, values: dict[str, str]) -> DataFrame:
@@ -80,9 +80,9 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], cell: Column,
     if most and even(df, keys, most):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0).cast("bigint"))).select(*df.columns, name)
-    rows = carried(df.withColumn("_v", value).withColumn(CELL, cell), keys, F.sum("_v"), "sum", upper=upper)
+    rows = carried(df.withColumn("_celled_value", value).withColumn(CELL, cell), keys, F.sum("_celled_value"), "sum", upper=upper)
     w = Window.partitionBy(*keys, CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.coalesce(F.sum("_v").over(w), F.lit(0).cast("bigint")) + F.coalesce(F.col("_carry"), F.lit(0).cast("bigint"))
+    total = F.coalesce(F.sum("_celled_value").over(w), F.lit(0).cast("bigint")) + F.coalesce(F.col("_celled_carry"), F.lit(0).cast("bigint"))
     return rows.withColumn(name, total).select(*df.columns, name)
 
 
@@ -98,4 +98,4 @@ def filled(df: DataFrame, keys: list[str], order: list[str], cell: Column, value
     rows = carried(df.withColumn(CELL, cell), keys, edge, "known", reverse, upper)
     w = Window.partitionBy(*keys, CELL).orderBy(*order)
     near = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if reverse else F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(name, F.coalesce(near, F.col("_carry"))).select(*df.columns, name)
+    return rows.withColumn(name, F.coalesce(near, F.col("_celled_carry"))).select(*df.columns, name)

@@ -196,8 +196,9 @@ def test_weights_and_epochs(spark):
     assert {r.id: r.neighbour for r in pair.collect()} == {1: 2, 2: 1, 3: 2, 4: 4, 5: 5}
 
 
-def test_folds():
-    assert samplers.overshooting(10, 3)([4, 4, 4, 1, 1, 1, 20, 1]) == [0, 0, 0, 1, 1, 1, 2, 3]
+def test_folds(spark):
+    df = spark.createDataFrame([(0, i, c) for i, c in enumerate([4, 4, 4, 1, 1, 1, 20, 1])], "k int, o long, c int")
+    assert [r.batch for r in samplers.dynamic_batches(df, ["k"], "o", "c", 10, 3).orderBy("o").collect()] == [0, 0, 0, 1, 1, 1, 2, 3]
     assert samplers.keeping_below(10)([5, 9, 4, 4]) == [False, False, True, True]
 
 
@@ -327,7 +328,8 @@ def test_more_signals(spark):
     assert r.f[0] == 0.5 and r.f[40] == 0.5 and r.f[60] < 1e-3 and r.f[99] == 0.5 and r.m == [0.5] * 100
     assert signal.gap_margins_cleared_(np.array([1.0] * 5 + [0] * 6 + [1.0] * 5), 5, 2).tolist() == [1, 1, 1] + [0] * 10 + [1, 1, 1]
     assert abs(signal.contour_(np.arange(50.0)).mean()) < 1e-9 and len(signal.contour_(np.arange(50.0))) == 80
-    assert signal.curvature_(np.array([0.0, 1.0, 2.0]))[2] == pytest.approx(0)
+    assert signal.curvature_(np.array([0.0, 1.0, 2.0])).tolist() == pytest.approx([-math.pi / 4, math.atan2(1, 2) * -1])
+    assert signal.curvature_(np.array([0.1, 0.2])).tolist() == signal.curvature_(np.array([9.0])).tolist() == [0, 0]
     x = np.sin(2 * np.pi * 100 * np.arange(4000) / 8000)
     assert signal.pitch_image_(x, 8000, 512, 256).shape[1] == 40
 
