@@ -193,11 +193,14 @@ def neighbour_pairs(df: DataFrame, key: str, first: str, second: str, seed: int
 
     The draw is repeatable: rows of an index value stand in a ring in hash order, and the neighbour is the next one. A
     value that many rows share is cut into rings by hash, so that no task holds a whole value."""
+    from .samplers import uniform
+
     out = df.select(key, first, second)
     for n, k in (("_a", first), ("_b", second)):
         size = df.groupBy(k).agg(F.count(F.lit(1)).alias("_size"))
-        ring = out.join(size, k, "left").withColumn("_ring", F.when(F.col(k).isNotNull(), F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.greatest(F.lit(1), F.floor(F.col("_size") / RING)))))
-        w = Window.partitionBy(k, "_ring").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+        rings = F.greatest(F.lit(1), F.floor(F.col("_size") / RING))
+        ring = out.join(size, k, "left").withColumn("_ring", F.when(F.col(k).isNotNull(), F.floor(uniform(F.col(key), seed + 1) * rings)))
+        w = Window.partitionBy(k, "_ring").orderBy(uniform(F.col(key), seed), key)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         next_ = F.coalesce(F.lead(key).over(w), F.first(key).over(whole))
         other = F.when(F.col(k).isNotNull() & (next_ != F.col(key)), next_)

@@ -10,7 +10,7 @@ from ..operators import aggregates as A
 from ..operators import celled, ordering
 from ..operators import filters as P
 from ..operators import joins as J
-from .book import query, table
+from .book import neighbours_sql, query, table
 
 DUR = "list_max(list_transform(ts_by_words, lambda x: x.\"end\")) - list_min(list_transform(ts_by_words, lambda x: x.\"begin\"))"
 
@@ -242,7 +242,7 @@ def interval_containment(spark, d):
     return s.select("seg_id", F.col("p.inner_pos").cast("bigint").alias("inner_pos"), F.col("p.outer_pos").cast("bigint").alias("outer_pos")).distinct()
 
 
-@query()
+@query(f"select * from {neighbours_sql()}")
 def neighbor_pairs(spark, d):
     return J.neighbour_pairs(table(spark, d, "documents"), "doc_id", "source", "lang")
 

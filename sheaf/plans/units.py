@@ -9,7 +9,7 @@ from ..operators import align, celled, collate, joins, ordering, samplers
 from ..operators import signal as S
 from ..operators import text as X
 from ..operators import timeline as T
-from .book import query, table
+from .book import neighbours_sql, query, table
 
 # rows delivered again have the same content
 W = """(select seg_id, p - 1 as pos, x."begin" as b, x."end" as e, n from (select seg_id, generate_subscripts(w, 1) as p, unnest(w) as x, len(w) as n from (select distinct seg_id, ts_by_words as w from audioseg)))"""
@@ -284,7 +284,7 @@ def batch_bucketed(spark, d):
     return samplers.bucketed_batches(table(spark, d, "documents"), "doc_id", "n_chars", 16).select("doc_id", "batch_id")
 
 
-@query()
+@query(f"with n as (select * from {neighbours_sql()}) select doc_id, 0 as neighbor_idx, neighbour as member from n union all select doc_id, 1, doc_id from n")
 def neighbour_doubling(spark, d):
     docs = table(spark, d, "documents")
     return samplers.doubled(docs, "doc_id", joins.neighbour_pairs(docs, "doc_id", "source", "lang"))
@@ -362,7 +362,7 @@ def pad_multiple(spark, d):
     return p.select("batch_id", "seg_id", F.col("length").cast("bigint").alias("length"), F.size("x").cast("bigint").alias("padded"), F.round("relative_length", 8).alias("relative_length"))
 
 
-@query()
+@query(f"select n.doc_id, n.doc_id as member, d.n_chars, n.neighbour as prompt_member, p.n_chars as prompt_n_chars from {neighbours_sql()} n join documents d using (doc_id) join documents p on p.doc_id = n.neighbour")
 def pair_collate(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
     two = samplers.doubled(docs, "doc_id", joins.neighbour_pairs(docs, "doc_id", "source", "lang"))

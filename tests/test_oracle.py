@@ -64,12 +64,6 @@ def assignment(rows, duck):
     return len(left) == len(set(left)) and own > 0.9 * len(rows) > 0 and all(0 <= r.likeness <= 1 and r.begin <= r.end for r in rows)
 
 
-def neighbours(rows, duck):
-    docs = {r[0]: r[1:] for r in duck.execute("select doc_id, source, lang from documents").fetchall()}
-    share = lambda a, b: any(x is not None and x == y for x, y in zip(docs[a], docs[b]))
-    return {r.doc_id for r in rows} == set(docs) and all(r.doc_id == r.neighbour or share(r.doc_id, r.neighbour) for r in rows)
-
-
 def frames(rows, duck):
     n = dict(duck.execute("select distinct seg_id, len(ts_by_words) from audioseg").fetchall())
     return len(rows) > 0 and all((r.message is None and r.n == n[r.seg_id] + 1) or r.message for r in rows)
@@ -115,9 +109,6 @@ PROPERTIES = {
     "replacement_spans": replaced,
     "fuzzy_edges": edges,
     "sentence_assignment": assignment,
-    "neighbor_pairs": neighbours,
-    "neighbour_doubling": lambda rows, duck: len(rows) == 2 * duck.execute("select count(*) from documents").fetchall()[0][0] and all(r.neighbor_idx in (0, 1) and (r.neighbor_idx == 0 or r.member == r.doc_id) for r in rows),
-    "pair_collate": lambda rows, duck: sorted(r.doc_id for r in rows) == [r[0] for r in duck.execute("select doc_id from documents order by 1").fetchall()] and all(r.member == r.doc_id for r in rows),
     "frame_bounds": frames,
     "text_align": lambda rows, duck: len(rows) == len(segments(duck)) and sum((r.n or 0) > 0 for r in rows) > len(rows) / 2,
     "balanced_fill": lambda rows, duck: 0 < len(rows) <= 2000 and len({r[0] for r in rows}) == len(rows),
